@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training"]
+MODULES = ["training", "joins", "analytics", "science"]
 
 
 def load_core():

@@ -1 +1,113 @@
-"""See the modules of this package."""
+"""Structured Streaming: keyed upserts per micro-batch, deduplication, windows and stateful incidents."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyforge.session import scratch_path
+from tallyforge.sources.sinks import merged, newest
+
+
+def files_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """A stream over the Parquet files of a folder, oldest first; a single file is a stream of one file."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        return reader.option("pathGlobFilter", target.getName()).parquet(str(target.getParent().toString()))
+    return reader.parquet(path)
+
+
+class KeyedTable:
+    """A Parquet table kept by key through micro-batches. Each batch writes a new version and then the pointer to it.
+
+    A batch that runs again (after a failure) writes the same version again: the version's name is the batch's
+    number, and it starts from the version before, so upserts are idempotent. The greatest `at` of a key wins, so
+    a late correction replaces a row and an older duplicate does not.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], at: str, schema):
+        self.spark, self.path, self.keys, self.at, self.schema = spark, path.rstrip("/"), keys, at, schema
+
+    def version(self, batch: int) -> str:
+        return f"{self.path}/v={batch:010d}"
+
+    def upsert(self, batch: DataFrame, number: int) -> None:
+        new = newest(batch.select([f.name for f in self.schema.fields]), self.keys, self.at)
+        if number > 0:
+            old = self.spark.read.schema(self.schema).parquet(self.version(number - 1))
+            mine = old.select(*self.keys, F.col(self.at).alias("_seen"))
+            new = new.join(mine, self.keys, "left").filter(F.col("_seen").isNull() | (F.col(self.at) >= F.col("_seen"))).drop("_seen")
+            new = merged(old, new, self.keys)
+        new.write.mode("overwrite").parquet(self.version(number))
+        self.last = number
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.version(self.last))
+
+
+def run_to_end(query: StreamingQuery) -> None:
+    query.processAllAvailable()
+    query.stop()
+
+
+def upsert_stream(stream: DataFrame, table: KeyedTable, check: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Feed a stream into a keyed table; `check` may raise after a batch and thereby fail the query."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        table.upsert(df, number)
+        if check:
+            check(table.read())
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", scratch_path(table.spark, "stream")).trigger(availableNow=True).start()
+
+
+def deduplicated(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
+    """The first row of each key; a copy later than `delay` after it may pass, which bounds the state."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def tumbling(df: DataFrame, at: str, length: str, keys: list[str], delay: str | None = None) -> DataFrame:
+    """Counts and sums per time window; with a watermark if the input is a stream."""
+    df = df.withWatermark(at, delay) if delay else df
+    return df.groupBy(F.window(at, length), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sliding(df: DataFrame, at: str, length: str, step: str, keys: list[str]) -> DataFrame:
+    return df.groupBy(F.window(at, length, step), *keys).agg(F.count("*").alias("n"))
+
+
+def sessions(df: DataFrame, at: str, gap: str, keys: list[str]) -> DataFrame:
+    """Sessions: rows of a key with less than `gap` between them."""
+    return df.groupBy(F.session_window(at, gap), *keys).agg(F.count("*").alias("n"))
+
+
+def stale(df: DataFrame, keys: list[str], at: str, now, warn: int, fail: int) -> DataFrame:
+    """(keys, age_seconds, status) from the newest row of each key: OK, WARN from `warn` seconds, FAIL from `fail`."""
+    age = F.unix_timestamp(now) - F.unix_timestamp(F.max(at).cast("timestamp"))
+    out = df.groupBy(*keys).agg(age.alias("age_seconds"))
+    return out.withColumn("status", F.when(F.col("age_seconds") >= fail, "FAIL").when(F.col("age_seconds") >= warn, "WARN").otherwise("OK"))
+
+
+def incidents(stream: DataFrame, key: str, bad: str, at: str) -> DataFrame:
+    """(key, state, n): OPEN when a key turns bad, UPDATE while it stays so, RESOLVED when it is good again."""
+
+    def step(k, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n = state.get[0] if state.exists else 0
+        out = []
+        for pdf in pdfs:
+            for wrong in pdf.sort_values(at)[bad]:
+                if wrong:
+                    n += 1
+                    out.append((k[0], "OPEN" if n == 1 else "UPDATE", n))
+                elif n:
+                    out.append((k[0], "RESOLVED", n))
+                    n = 0
+        state.update((n,))
+        yield pd.DataFrame(out, columns=["key", "state", "n"])
+
+    return stream.groupBy(key).applyInPandasWithState(step, "key string, state string, n int", "n int", "append", "NoTimeout")
