@@ -20,12 +20,17 @@ def rate(cond: Column, of: Column) -> Column:
     return F.avg(F.when(cond, of.cast("double")))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson correlation, NULL (never an error) where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def guarded_corr(x: str, y: str, least: int = 20) -> Column:
     """Pearson over complete pairs; 0.0 under `least` pairs or where a side is constant."""
     ok = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(ok, F.col(x)), F.when(ok, F.col(y))
     flat = (F.min(a) == F.max(a)) | (F.min(b) == F.max(b))
-    return F.when((F.count(a) < least) | flat, 0.0).otherwise(F.corr(a, b))
+    return F.when((F.count(a) < least) | flat, 0.0).otherwise(pearson(a, b))
 
 
 def correlation_pairs(df: DataFrame, columns: list[str], least: int = 2) -> DataFrame:
@@ -40,7 +45,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.withColumns({"_x": rank_average(keys, x), "_y": rank_average(keys, y)})
     flat = (F.min("_x") == F.max("_x")) | (F.min("_y") == F.max("_y"))
-    return rows.groupBy(*keys).agg(F.when((F.count("*") >= 3) & ~flat, F.corr("_x", "_y")).alias("spearman"))
+    return rows.groupBy(*keys).agg(F.when((F.count("*") >= 3) & ~flat, pearson(F.col("_x"), F.col("_y"))).alias("spearman"))
 
 
 def error_metrics(actual: str, predicted: str) -> list[Column]:

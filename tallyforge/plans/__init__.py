@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training", "joins", "analytics", "science"]
+MODULES = ["training", "joins", "analytics", "science", "pipelines"]
 
 
 def load_core():
