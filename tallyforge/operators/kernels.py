@@ -93,7 +93,7 @@ def water_filled(df: DataFrame, keys: list[str], total: str, weight: str, cap: s
     """df with `share`: total by weight within caps, what a capped row cannot take going to the others by weight.
 
     Closed form: in the order of cap/weight the capped rows come first; the level at each row follows from
-    running sums, and the first level under the next row's cap/weight is the answer. Rows without positive
+    running sums, and the first one within its row's cap/weight, which is the highest such, is the answer. Rows without positive
     weight get 0; if all caps are reached the rest of the total is not given.
     """
     w, c = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)), F.greatest(F.coalesce(F.col(cap), F.lit(0.0)), F.lit(0.0))
@@ -105,7 +105,7 @@ def water_filled(df: DataFrame, keys: list[str], total: str, weight: str, cap: s
     level = F.when(F.col("_ratio").isNotNull(), (F.col(total) - F.col("_before")) / F.nullif("_rest", F.lit(0.0)))
     rows = rows.withColumn("_level", level)
     fits = F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))
-    rows = rows.withColumn("_l", F.min(fits).over(g))
+    rows = rows.withColumn("_l", F.max(fits).over(g))
     share = F.when(F.col("_ratio").isNull(), 0.0).when(F.col("_l").isNull(), F.col("_c")).otherwise(F.least(F.col("_c"), F.greatest(F.col("_l"), F.lit(0.0)) * F.col("_w")))
     return rows.withColumn("share", share).drop("_w", "_c", "_ratio", "_before", "_rest", "_level", "_l")
 

@@ -107,11 +107,11 @@ def r075(spark, d):
 @q(
     "r077_shrinkage",
     """WITH g AS (SELECT p_brand, p_type, count(p_retailprice) AS n, sum(p_retailprice) AS s FROM part GROUP BY 1, 2), b AS (SELECT p_brand, sum(s) / sum(n) AS parent_mean FROM g GROUP BY 1)
-SELECT p_brand, p_type, n, round(parent_mean, 3) AS parent_mean, round((s + parent_mean) / (n + 1), 3) AS estimate FROM g JOIN b USING (p_brand)""",
+SELECT p_brand, p_type, n, round(parent_mean, 8) AS parent_mean, round((s + parent_mean) / (n + 1), 8) AS estimate FROM g JOIN b USING (p_brand)""",
 )
 def r077(spark, d):
     x = A.shrunk_means(Tables(spark, d).part, ["p_brand", "p_type"], ["p_brand"], "p_retailprice")
-    return x.withColumns({"parent_mean": F.round("parent_mean", 3), "estimate": F.round("estimate", 3)})
+    return x.withColumns({"parent_mean": F.round("parent_mean", 8), "estimate": F.round("estimate", 8)})
 
 
 @q("r078_moments_and_quantiles", "SELECT l_returnflag, round(avg(l_quantity), 6) AS m, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, quantile_cont(l_quantity, 0.1) AS q10, quantile_cont(l_quantity, 0.9) AS q90 FROM lineitem GROUP BY 1")

@@ -284,11 +284,11 @@ def r210(spark, d):
 @q(
     "r211_cold_start",
     f"""WITH {BOX}, k AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season, week, season_type, team) AS k FROM box), g AS (SELECT position, team, count(fantasy_points) AS n, sum(fantasy_points) AS s FROM k WHERE k <= 3 AND position IS NOT NULL GROUP BY 1, 2),
-p AS (SELECT position, sum(s) / sum(n) AS parent FROM g GROUP BY 1) SELECT position, team, n, round((s + parent) / (n + 1), 3) AS estimate FROM g JOIN p USING (position)""",
+p AS (SELECT position, sum(s) / sum(n) AS parent FROM g GROUP BY 1) SELECT position, team, n, round((s + parent) / (n + 1), 8) AS estimate FROM g JOIN p USING (position)""",
 )
 def r211(spark, d):
     first = box(spark, d).withColumn("k", F.row_number().over(Window.partitionBy("player_id").orderBy(*ORDER))).filter("k <= 3 and position is not null")
-    return A.shrunk_means(first, ["position", "team"], ["position"], "fantasy_points").select("position", "team", "n", F.round("estimate", 3).alias("estimate"))
+    return A.shrunk_means(first, ["position", "team"], ["position"], "fantasy_points").select("position", "team", "n", F.round("estimate", 8).alias("estimate"))
 
 
 @q(

@@ -62,7 +62,7 @@ def html_fields(df: DataFrame, keep: list[str], html: str, pattern: str, names:
 class JsonPages(DataSource):
     """`spark.read.format("json_pages")`: JSON documents fetched over HTTP, one partition per URL.
 
-    Options: urls (comma separated), timeout (seconds), retries. Rows: url, status, bytes, body; a failed fetch is
+    Options: urls (separated by blanks), timeout (seconds), retries. Rows: url, status, bytes, body; a failed fetch is
     a row with its status or NULL, so that one source cannot fail the batch.
     """
 
@@ -79,7 +79,7 @@ class JsonPages(DataSource):
 
 class _Pages(DataSourceReader):
     def __init__(self, options):
-        self.urls = [u.strip() for u in options.get("urls", "").split(",") if u.strip()]
+        self.urls = options.get("urls", "").split()
         self.timeout, self.retries = float(options.get("timeout", 20)), int(options.get("retries", 2))
 
     def partitions(self):
@@ -100,7 +100,7 @@ class _Pages(DataSourceReader):
                 if e.code < 500 or attempt == self.retries:
                     yield partition.value, e.code, 0, None
                     return
-            except OSError:
+            except (OSError, ValueError):
                 if attempt == self.retries:
                     yield partition.value, None, 0, None
                     return
