@@ -35,6 +35,7 @@ PER_LABEL = 400  # labelled documents per language in the sample (about; chosen
 MAX_PER_LABEL = 4_000  # sentences per language that are trained on
 MIN_LETTERS = 12  # letters of a sentence (kana and ideographs count three)
 EPOCHS, RATE, BATCH = 4, 0.5, 128
+LEAST_STEPS = 400  # small samples are gone through more often
 
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'”’»)\]]*\s+|(?<=[。！？])[」』）”]*\s*|[\r\n]+")
 TAG = re.compile(r"<[^<>]{0,200}>")
@@ -155,7 +156,9 @@ def fit(texts: list[str], labels: np.ndarray, langs: list[str], seed: int = 5, e
     bucket, starts = grams(texts)
     n = np.diff(starts)
     balance = len(texts) / np.maximum(1, np.bincount(labels, minlength=len(langs)) * len(langs))
-    steps, step = epochs * -(-len(texts) // BATCH), 0
+    batches = max(1, -(-len(texts) // BATCH))
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
+    steps, step = epochs * batches, 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
