@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import dataclasses
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.times import iso_micros
-from tallyforge.session import materialise
+from tallyforge.session import materialise, scratch_path
 
 UNKNOWN = 0.05  # share of records taken to name an entity that the master does not hold
 PRIOR, WEIGHT = 0.8, 10.0  # precision of a rule without labelled records, and how many records that belief weighs
@@ -29,22 +28,37 @@ _MARKED |= dict(zip("øØłŁđĐıŋ", "oOlLdDin"))
 SUFFIX = r"\s+(jr|sr|ii|iii|iv|v)$"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once: the planner copies a plain expression to every place it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def folded(name: Column) -> Column:
     """Lower case without marks, points, apostrophes and outer blanks; `Last, First` is turned round."""
-    text = F.translate(name, "".join(_MARKED), "".join(_MARKED.values()))
-    # what is left of decomposed marks, and signs inside a name
-    text = F.lower(F.regexp_replace(text, r"[̀-ͯ.'`‘’ʼ]", ""))
-    text = F.regexp_replace(text, r"[^\p{L}\p{N},]+", " ")
-    turned = F.regexp_replace(text, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", "$2 $1")
-    text = F.when(text.rlike(r",\s*(jr|sr|ii|iii|iv|v)\s*$"), text).otherwise(turned)
-    text = F.trim(F.regexp_replace(text, r"[\s,]+", " "))
-    return F.when(text != "", text)
+    marks, plain = "".join(_MARKED), "".join(_MARKED.values())
+
+    def signs(text: Column) -> Column:
+        # what is left of decomposed marks, and signs inside a name
+        text = F.lower(F.regexp_replace(text, r"[̀-ͯ.'`‘’ʼ]", ""))
+        return F.regexp_replace(text, r"[^\p{L}\p{N},]+", " ")
+
+    def turned(text: Column) -> Column:
+        suffixed = text.rlike(r",\s*(jr|sr|ii|iii|iv|v)\s*$")
+        return F.when(suffixed | ~text.contains(","), text).otherwise(F.regexp_replace(text, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", "$2 $1"))
+
+    bare = _let(name, lambda n: F.when(n.rlike(r"[^\x00-\x7f]"), F.translate(n, marks, plain)).otherwise(n))
+    text = _let(signs(bare), lambda t: F.trim(F.regexp_replace(turned(t), r"[\s,]+", " ")))
+    return _let(text, lambda t: F.nullif(t, F.lit("")))
 
 
 def name_parts(df: DataFrame, name: Column) -> DataFrame:
-    """df with first, last (without blanks), whole (both) and suffix ('' for none) of a name; NULL for no name."""
-    df = df.withColumn("_n", folded(name)).withColumn("suffix", F.regexp_extract("_n", SUFFIX, 1))
-    df = df.withColumn("_b", F.regexp_replace("_n", SUFFIX, ""))
+    """df's distinct rows with first, last (without blanks), whole (both) and suffix ('' for none) of a name.
+
+    Rows without a name are left out. Names are folded once each: the distinct rows stand between that and the
+    parts, else the planner would fold a name again for every part.
+    """
+    df = df.withColumn("_n", folded(name)).filter("_n is not null").distinct()
+    df = df.withColumn("suffix", F.regexp_extract("_n", SUFFIX, 1)).withColumn("_b", F.regexp_replace("_n", SUFFIX, ""))
     df = df.withColumn("first", F.regexp_extract("_b", r"^(\S+)", 1)).withColumn("last", F.regexp_replace(F.regexp_replace("_b", r"^\S+\s*", ""), r"\s", ""))
     return df.withColumn("whole", F.concat("first", "last")).drop("_n", "_b")
 
@@ -84,7 +98,6 @@ class Rule:
             "initial+last": F.array(F.concat_ws("|", initial, "last")),
             "slip in first": each(without_one(c("first")), c("last")),
             "slip in last": each(without_one(c("last")), c("first")),
-            "slip": without_one(c("whole")),
             "consonants": F.array(F.concat_ws("|", consonants("first"), consonants("last"))),
         }[self.name]
         rest = [F.lit(self.title)] + [c(x) for x in ("team", "position") if getattr(self, x) != "any"]
@@ -115,15 +128,12 @@ RULES = [
     Rule("initial+last", "ever", "ever"),
     Rule("slip in first", "ever", "ever"),
     Rule("slip in last", "ever", "ever"),
-    Rule("slip", "now", "now"),
     Rule("consonants", "ever", "ever"),
     Rule("slip in first", "ever"),
     Rule("slip in last", "ever"),
     Rule("initial+last", "ever"),
     Rule("whole"),
     Rule("slip in first", "any", "ever"),
-    Rule("slip in last", "any", "ever"),
-    Rule("initial+last", "any", "ever"),
 ]
 
 
@@ -137,8 +147,8 @@ def cascade(records: DataFrame, master: DataFrame, rules: list[Rule] = RULES, un
     """
     spark = records.sparkSession
     asking, marked = records.filter("truth is null"), records.filter("truth is not null")
-    found: list[DataFrame] = []
-    for rule in rules:
+    path, fields = scratch_path(spark, "hits"), f"record string, low {dict(master.dtypes)['entity']}, high {dict(master.dtypes)['entity']}, truth string, rule string"
+    for k, rule in enumerate(rules):
         side = master
         for x in ("team", "position"):
             if getattr(rule, x) == "now":
@@ -147,13 +157,13 @@ def cascade(records: DataFrame, master: DataFrame, rules: list[Rule] = RULES, un
         # one row per key, whatever the number of entities that share it: the first and the last are all that is needed
         keys = keys.groupBy("key").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
         pending = asking
-        if found:
-            solved = reduce(DataFrame.unionByName, found).filter("truth is null and low = high").select("record")
+        if k:
+            solved = spark.read.schema(fields).parquet(path).filter("truth is null and low = high").select("record")
             pending = asking.join(solved, "record", "left_anti")
         asked = pending.unionByName(marked).filter(rule.applies()).select("record", "truth", F.explode(rule.keys()).alias("key"))
         hits = asked.join(keys, "key").groupBy("record").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("truth").alias("truth"))
-        found.append(materialise(spark, hits.withColumn("rule", F.lit(rule.title)), "hits"))
-    hits = reduce(DataFrame.unionByName, found)
+        hits.withColumn("rule", F.lit(rule.title)).write.mode("append").parquet(path)
+    hits = spark.read.schema(fields).parquet(path)
     one = F.col("low") == F.col("high")
     right = one & (F.col("low") == F.col("truth"))
     # without its own entity, a record that led to two would lead to the other
@@ -179,11 +189,9 @@ def identity_rows(identity: DataFrame) -> DataFrame:
     named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c]
     last = rows.groupBy("who").agg(F.max("own").alias("entity"), named("team").alias("last_team"), named("position").alias("last_position"))
     names = rows.select("who", F.explode(F.array_distinct(F.array(F.trim("full_name"), F.trim("football_name")))).alias("name")).distinct()
-    names = name_parts(names, F.col("name")).select("who", "first", "last", "whole", "suffix").filter("whole is not null and whole != ''").distinct()
+    names = name_parts(names.select("who", "name"), F.col("name")).select("who", "first", "last", "whole", "suffix").filter("whole != ''")
     # a name without its suffix is the same player's; the suffix seen in another of his names belongs to it
-    suffix = names.groupBy("who", "whole").agg(F.max("suffix").alias("suffix"), F.first("first").alias("first"), F.first("last").alias("last"))
-    best = names.groupBy("who").agg(F.max("suffix").alias("_s"))
-    names = suffix.join(best, "who").withColumn("suffix", F.col("_s")).drop("_s")
+    names = names.groupBy("who").agg(F.max("suffix").alias("suffix"), F.collect_set(F.struct("whole", "first", "last")).alias("n")).select("who", "suffix", F.explode("n").alias("n")).select("who", "suffix", "n.*")
     places = rows.select("who", "team", "position").distinct()
     out = names.join(places, "who").join(last, "who")
     return out.select("entity", "first", "last", "whole", "suffix", "team", "position", F.coalesce(F.col("team") == F.col("last_team"), F.lit(False)).alias("now_team"), F.coalesce(F.col("position") == F.col("last_position"), F.lit(False)).alias("now_position")).filter("entity is not null")
@@ -208,19 +216,24 @@ def list_rows(players: DataFrame) -> DataFrame:
     rows = players.withColumn("position", _position(F.col("position"))).filter("id is not null and coalesce(position, '') not in ('D', 'DEF', 'DST')")
     rows = canonical_teams(rows, rows)
     full = F.when(F.trim("nickname") != "", F.col("nickname")).otherwise(F.concat_ws(" ", F.trim("first_name"), F.trim("last_name")))
-    rows = name_parts(rows.withColumn("position", F.regexp_extract("position", r"^([A-Z]+)", 1)), full)
+    rows = rows.select("id", F.regexp_extract("position", r"^([A-Z]+)", 1).alias("position"), "team", full.alias("name"))
+    rows = name_parts(rows, F.col("name"))
     rows = rows.select("id", "first", "last", "whole", "suffix", "team", "position").distinct()
     return rows.withColumn("record", F.concat_ws("\u0001", "id", F.xxhash64("first", "last", "suffix", "team", "position").cast("string"))).withColumn("truth", F.lit(None).cast("string"))
 
 
-def labelled_rows(stats: DataFrame, injuries: DataFrame) -> DataFrame:
+def labelled_rows(stats: DataFrame, injuries: DataFrame, most: int = LABELLED) -> DataFrame:
     """Records whose entity is known: names, short and long, of box scores and injury reports with their gsis_id."""
     short = F.regexp_replace("player_name", r"^(\S)\.\s*", "$1. ")
     a = stats.select(F.col("player_id").alias("truth"), short.alias("name"), "team", "position")
     b = stats.select(F.col("player_id").alias("truth"), F.col("player_display_name").alias("name"), "team", "position")
     c = injuries.select(F.col("gsis_id").alias("truth"), F.col("player_name").alias("name"), "team", "position")
     rows = a.unionByName(b).unionByName(c).filter("truth is not null and name is not null")
-    rows = rows.select("truth", "name", F.upper(F.trim("team")).alias("team"), _position(F.col("position")).alias("position")).distinct()
+    # about `most` of the distinct rows, chosen by hash before any shuffle and before any name is taken apart
+    mark = F.xxhash64("truth", "name", "team", "position")
+    counted = rows.agg(F.approx_count_distinct(mark)).first()[0]
+    rows = rows.filter(F.pmod(mark, F.lit(1 << 40)) / float(1 << 40) < min(1.0, most / max(1, counted))).distinct()
+    rows = rows.select("truth", "name", F.upper(F.trim("team")).alias("team"), _position(F.col("position")).alias("position"))
     rows = name_parts(rows, F.col("name")).select("truth", "first", "last", "whole", "suffix", "team", "position").distinct()
     return rows.withColumn("record", F.concat_ws("\u0001", F.lit("label"), "truth", F.xxhash64("first", "last", "suffix", "team", "position").cast("string")))
 
@@ -233,10 +246,7 @@ def matched_players(players: DataFrame, identity: DataFrame, stats: DataFrame, i
     """
     spark = players.sparkSession
     columns = ["record", "truth", "first", "last", "whole", "suffix", "team", "position"]
-    labelled = labelled_rows(stats, injuries).select(columns)
-    share = min(1.0, LABELLED / max(1, labelled.count()))
-    labelled = labelled.filter(F.pmod(F.xxhash64("record"), F.lit(1 << 40)) < share * (1 << 40))
-    records = list_rows(players).select(columns).unionByName(labelled)
+    records = list_rows(players).select(columns).unionByName(labelled_rows(stats, injuries).select(columns))
     master = materialise(spark, identity_rows(identity), "master")
     found = cascade(materialise(spark, records, "records"), master).filter(F.col("confidence") >= least)
     order = F.create_map(*[F.lit(x) for i, r in enumerate(RULES) for x in (r.title, -i)])
