@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +34,14 @@ class SortedRunStore:
         self.table = f"sorted_runs_{uuid.uuid4().hex}"
         self.path = scratch_path(spark, "runs")
         self.empty = True
+        atexit.register(self.drop)
+
+    def drop(self) -> None:
+        """Forget the table; its files lie in the shared folder and go with the session's other scratch files."""
+        try:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        except Exception:  # the session may be gone already
+            pass
 
     def upsert(self, batch: DataFrame) -> SortedRunStore:
         keys = ("ident", "digest", "body", "run")

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training", "joins", "analytics", "science", "pipelines"]
+MODULES = ["training", "joins", "analytics", "science", "pipelines", "more"]
 
 
 def load_core():
