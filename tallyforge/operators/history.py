@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.times import iso_micros
 
-BLOCK = 1024  # rows of one entity folded at once, whatever the size of the entity
+BLOCK = 256  # rows of one entity folded at once, whatever the size of the entity
 
 
 def _fold(rows, start, names):
