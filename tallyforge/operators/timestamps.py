@@ -200,6 +200,15 @@ def _sum_nodes(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*key, *summed(_nodes(pdf)))], columns=["source", "above", "ff", "ft", "lf", "lt", "m"])
 
 
+def _choose_whole(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The records of several sources, each whole: their best readings."""
+    pdf = pdf.sort_values("seq")
+    out = []
+    for _, own in pdf.groupby("source", sort=False):
+        out += [int(t[a]) for t, (a, _) in zip(own["us"], chosen(_record_nodes(own), None, None))]
+    return pd.DataFrame({"table": pdf["table"].to_numpy(), "record": pdf["record"].to_numpy(), "stated": pdf["stated"].to_numpy(), "n_readings": [len(t) for t in pdf["us"]], "utc_micros": out})
+
+
 def _choose_top(key, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("above")
     ways = chosen(_nodes(pdf), None, None)
@@ -232,14 +241,24 @@ def likeliest_readings(records: DataFrame) -> DataFrame:
     rows = rows.withColumn("seq", F.monotonically_increasing_id())
     rows = rows.withColumn("block", F.shiftright("seq", BLOCK_BITS)).withColumn("above", F.shiftright("seq", 2 * BLOCK_BITS)).drop("place")
     rows = materialise(records.sparkSession, rows, "readings")  # the numbering must be one and the same for all that follows
-    chain = rows.filter(F.size("us") > 0)
+    read = rows.filter(F.size("us") > 0)
+    # Python sees only sources with a choice to make: small ones many at once, the others block by block
+    blocks = read.groupBy("source", "block").agg(F.max(F.size("us")).alias("most"))
+    sources = blocks.groupBy("source").agg(F.max("most").alias("most"), F.count("*").alias("n_blocks"))
+    kind = F.when(F.col("most") == 1, 0).when(F.col("n_blocks") == 1, 1).otherwise(2)
+    kinds = materialise(records.sparkSession, blocks.select("source", "block").join(sources, "source").select("source", "block", kind.alias("kind")), "kinds")
+    of = lambda k: read.join(kinds.filter(F.col("kind") == k).select("source", "block"), ["source", "block"])
+    shown = "table string, record string, stated boolean, n_readings int, utc_micros bigint"
+    clear = of(0).select("table", "record", "stated", F.size("us").alias("n_readings"), F.col("us")[0].alias("utc_micros"))
+    small = of(1).withColumn("several", F.shiftright("seq", BLOCK_BITS + 4)).groupBy("several").applyInPandas(_choose_whole, shown)
+    chain = of(2)
     nodes = chain.select("source", "block", "seq", "us", "fmt").groupBy("source", "block").applyInPandas(_sum_records, f"source string, block bigint, {_NODE}")
     nodes = materialise(records.sparkSession, nodes.withColumn("above", F.shiftright("block", BLOCK_BITS)), "nodes")
     tops = nodes.groupBy("source", "above").applyInPandas(_sum_nodes, f"source string, above bigint, {_NODE}")
     ends = tops.groupBy("source").applyInPandas(_choose_top, "source string, above bigint, entry int, exit int")
     inner = nodes.join(ends, ["source", "above"]).groupBy("source", "above").applyInPandas(_choose_nodes, "source string, block bigint, entry int, exit int")
-    # a block whose records have one reading each needs no choice
-    placed = chain.join(inner, ["source", "block"]).groupBy("source", "block").applyInPandas(_choose_records, "table string, record string, stated boolean, n_readings int, utc_micros bigint")
+    placed = read.join(inner, ["source", "block"]).groupBy("source", "block").applyInPandas(_choose_records, shown)
+    placed = placed.unionByName(small).unionByName(clear)
     missing = rows.filter(F.size("us") == 0).select("table", "record", "stated", F.lit(0).alias("n_readings"), F.lit(None).cast("long").alias("utc_micros"))
     both = placed.unionByName(missing)
     return both.select(F.col("table").alias("source_table"), F.col("record").alias("record_key"), "utc_micros", "n_readings", (F.col("stated") & (F.col("n_readings") == 1)).alias("determined"))

@@ -210,3 +210,20 @@ def test_kickoffs(spark):
     none = spark.createDataFrame([], "capture_id bigint, source string, raw_feed_fields string"), spark.createDataFrame([], "record_id string, source string, retrieved_at_utc string, raw_publication_timestamp string")
     got = {r.record_key: r.utc_micros for r in timestamps.likeliest_readings(timestamps.record_times(*none, g)).filter("determined").collect()}
     assert got == {"a": us(2023, 10, 1, 17), "b": us(2023, 10, 2, 18), "f": us(2023, 10, 1, 17)}
+
+
+def test_small_and_large_sources_are_read_alike(spark):
+    """Sources of one block, of several and without any choice together: each costs what one path over it costs."""
+    rng = random.Random(9)
+    base = datetime(2023, 10, 1, tzinfo=UTC)
+    sizes = {"large": 2500, "clear": 30, **{f"small{i}": 20 for i in range(30)}}
+    data = [("t", f"{s}-{i}", s, f"{i:06d}", (base + timedelta(minutes=90 * i)).strftime("%Y-%m-%d %H:%M:%S") + ("Z" if s == "clear" or rng.random() < 0.5 else "")) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(data, "table string, record string, source string, place string, value string")
+    got = {r.record_key: r.utc_micros for r in timestamps.likeliest_readings(df).collect()}
+    assert len(got) == len(data)
+    options = {r.record: list(zip(r._fmt, r._us)) for r in timestamps.with_readings(df, F.col("value")).select("record", "_fmt", "_us").collect()}
+    for s, n in sizes.items():
+        chain = [options[f"{s}-{i}"] for i in range(n)]
+        # an instant may stand for readings of several notations: the cheapest path through the chosen instants
+        taken = [[c for c in cand if c[1] == got[f"{s}-{i}"]] for i, cand in enumerate(chain)]
+        assert all(taken) and abs(brute_path(taken) - brute_path(chain)) < 1e-9, s
