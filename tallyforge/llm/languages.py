@@ -245,7 +245,8 @@ def identified(documents: DataFrame, names: dict[str, str], model: Model | None
     """(doc_id, segment, begin, end, lang, confidence): runs of sentences in one language, in the order of the text.
 
     begin and end count characters of the text. A sentence below the model's threshold has no language (NULL) and
-    is a segment of its own kind. Texts without any sentence (NULL, empty, blank, numbers, code) have no rows.
+    is a segment of its own kind. Texts without any sentence (NULL, empty, blank, numbers, code) and
+    documents without doc_id have no rows; texts under one doc_id count as one document's.
     confidence is the mean probability of the segment's sentences.
     """
     model = model or train(documents, names)
@@ -268,7 +269,7 @@ def identified(documents: DataFrame, names: dict[str, str], model: Model | None
                 out.append(last)
             yield pd.DataFrame([(*x[:5], x[5] / x[6], x[6]) for x in out], columns=["doc_id", "segment", "begin", "end", "lang", "confidence", "n_sentences"])
 
-    return documents.select("doc_id", "text").filter("text is not null").mapInPandas(parts, "doc_id bigint, segment int, begin int, end int, lang string, confidence double, n_sentences int")
+    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(parts, "doc_id bigint, segment int, begin int, end int, lang string, confidence double, n_sentences int")
 
 
 def document_languages(documents: DataFrame, names: dict[str, str], model: Model | None = None) -> DataFrame:
