@@ -48,14 +48,14 @@ def r013(spark, d):
 @q(
     "r017_upsert",
     """WITH n AS (SELECT user_id, arg_max(event_type, event_id) AS last_type, CASE WHEN bool_or(event_type = 'purchase') THEN 1 END AS bought, count(*) AS n FROM events GROUP BY user_id),
-o AS (SELECT user_id, min(event_type) AS last_type, 0 AS bought, 0 AS n FROM events WHERE user_id % 3 = 0 GROUP BY user_id)
+o AS (SELECT user_id, min(event_type) AS last_type, 0 AS bought, 0 AS n FROM events WHERE value < 20 GROUP BY user_id)
 SELECT coalesce(n.user_id, o.user_id) AS user_id, CASE WHEN n.user_id IS NOT NULL THEN n.last_type ELSE o.last_type END AS last_type,
   coalesce(n.bought, o.bought) AS bought, CASE WHEN n.user_id IS NOT NULL THEN n.n ELSE o.n END AS n FROM n FULL JOIN o USING (user_id)""",
 )
 def r017(spark, d):
     e = Tables(spark, d).events
     new = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.when(F.bool_or(F.col("event_type") == "purchase"), 1).alias("bought"), F.count("*").alias("n"))
-    old = e.filter("user_id % 3 = 0").groupBy("user_id").agg(F.min("event_type").alias("last_type"), F.lit(0).alias("bought"), F.lit(0).cast("long").alias("n"))
+    old = e.filter("value < 20").groupBy("user_id").agg(F.min("event_type").alias("last_type"), F.lit(0).alias("bought"), F.lit(0).cast("long").alias("n"))
     return merged(old, new, ["user_id"], keep_old=["bought"])
 
 

@@ -82,9 +82,9 @@ def r133(spark, d):
     return Tables(spark, d).source_capture.select("capture_id", kind.alias("signal"))
 
 
-@q("r134_kickoff_to_utc", "SELECT game_id, epoch_us((game_date || ' ' || kickoff_local_time || ':00')::TIMESTAMP AT TIME ZONE 'America/New_York') AS at_us FROM dim_game WHERE regexp_matches(kickoff_local_time, '^[0-9]{2}:[0-5][0-9]$') AND kickoff_local_time < '24'")
+@q("r134_kickoff_to_utc", "SELECT game_id, CASE WHEN regexp_matches(kickoff_local_time, '^[0-9]{2}:[0-5][0-9]$') AND kickoff_local_time < '24' THEN epoch_us(try_cast(game_date || ' ' || kickoff_local_time || ':00' AS TIMESTAMP) AT TIME ZONE 'America/New_York') END AS at_us FROM dim_game")
 def r134(spark, d):
-    return Tables(spark, d).dim_game.filter(r"kickoff_local_time rlike '^[0-9]{2}:[0-5][0-9]$' and kickoff_local_time < '24'").select("game_id", local_to_utc_micros(F.col("game_date"), F.col("kickoff_local_time")).alias("at_us"))
+    return Tables(spark, d).dim_game.select("game_id", local_to_utc_micros(F.col("game_date"), F.col("kickoff_local_time")).alias("at_us"))
 
 
 @q("r135_season_from_date", "SELECT o_orderkey, CAST(year(o_orderdate) - CASE WHEN month(o_orderdate) >= 3 THEN 0 ELSE 1 END AS BIGINT) AS season FROM orders")
