@@ -40,28 +40,68 @@ def best_pick(value: np.ndarray, cost: np.ndarray, picks: int, cap: int, locked:
     return float(best[k, room] + sum(value[i] for i in locked)), sorted(out)
 
 
+def best_led_pick(value: np.ndarray, cost: np.ndarray, lead_value: np.ndarray, lead_cost: np.ndarray, picks: int, cap: int, locked: frozenset[int] = frozenset()) -> tuple[float, list[int], int] | None:
+    """(value, places, place of the lead) like best_pick, one of the picks being the lead, with its own value and cost.
+
+    One pass over the items for all leads: the states are (lead given or not, picks, cost).
+    """
+    items = [i for i in range(len(value)) if np.isfinite(value[i])]
+    if picks < 1 or cap < 0 or not locked <= set(items):
+        return None
+    best = np.full((2, picks + 1, cap + 1), -np.inf)
+    best[0, 0] = 0.0
+    taken = np.zeros((len(items), 2, picks + 1, cap + 1), np.int8)  # 1: picked, 2: picked as the lead
+    for n, i in enumerate(items):
+        for j in range(picks, 0, -1):
+            for led in (1, 0):
+                ways = [(1, led, int(cost[i]), value[i])] + [(2, 0, int(lead_cost[i]), lead_value[i])] * led
+                new = np.full(cap + 1, -np.inf) if i in locked else best[led, j].copy()
+                for how, before, c, v in ways:
+                    if c <= cap:
+                        tried = best[before, j - 1, : cap + 1 - c] + v
+                        better = tried > new[c:]
+                        new[c:][better] = tried[better]
+                        taken[n, led, j, c:][better] = how
+                best[led, j] = new
+        if i in locked:
+            best[:, 0] = -np.inf
+    if not np.isfinite(best[1, picks, cap]):
+        return None
+    out, boss, led, j, r = [], -1, 1, picks, cap
+    for n in range(len(items) - 1, -1, -1):
+        how, i = taken[n, led, j, r], items[n]
+        if how:
+            out.append(i)
+            j, r = j - 1, r - int(lead_cost[i] if how == 2 else cost[i])
+            if how == 2:
+                boss, led = i, 0
+    return float(best[1, picks, cap]), sorted(out), boss
+
+
+def whole_units(cost: np.ndarray, unit: float) -> np.ndarray:
+    """Costs as counts of `unit`; a cost that is no multiple of it is an error, as rounding would change what fits."""
+    units = np.round(cost / unit)
+    if (np.abs(units * unit - cost) > 1e-6).any():
+        raise ValueError(f"costs are no multiples of {unit}: {cost[np.abs(units * unit - cost) > 1e-6][:3]}")
+    return units.astype(int)
+
+
 def best_selections(df: DataFrame, group: str, item: str, value: str, cost: str, picks: int, cap: float, unit: float, lead: float = 1.0, locked: str | None = None) -> DataFrame:
-    """(group, item, is_lead, total): the best selection of each group; with lead > 1 one item counts that many times.
+    """(group, item, is_lead, total): the best selection of each group; with lead > 1 one item counts and costs that many times.
 
-    Costs are in whole `unit`s, rounded up; rows with a NULL value, cost or item are not eligible; locked names a
-    boolean column of items that must stay. A group is a pool of bounded size; groups are spread over tasks.
+    Costs (the lead's too) must be whole `unit`s, else it fails; rows with a NULL value, cost or item are not eligible;
+    locked names a boolean column of items that must stay. A group is a pool of bounded size; groups are spread over tasks.
     """
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[item, value, cost]).sort_values([value, item], ascending=[False, True]).drop_duplicates(item).reset_index(drop=True)
-        v, c = pdf[value].to_numpy(float), np.ceil(pdf[cost].to_numpy(float) / unit).astype(int)
+        v, price = pdf[value].to_numpy(float), pdf[cost].to_numpy(float)
+        c, room = whole_units(price, unit), int(cap // unit)
         fixed = frozenset(np.flatnonzero(pdf[locked].to_numpy(bool))) if locked else frozenset()
-        answers = []
-        for boss in range(len(pdf)) if lead != 1.0 else [None]:
-            w = v.copy()
-            if boss is not None:
-                w[boss] *= lead
-            found = best_pick(w, c, picks, int(cap // unit), fixed | ({boss} if boss is not None else set()))
-            if found:
-                answers.append((found[0], boss, found[1]))
-        if not answers:
+        found = best_pick(v, c, picks, room, fixed) if lead == 1.0 else best_led_pick(v, c, lead * v, whole_units(lead * price, unit), picks, room, fixed)
+        if not found:
             return pd.DataFrame({"group": [], "item": [], "is_lead": [], "total": []}).astype({"group": str, "item": str, "is_lead": bool, "total": float})
-        total, boss, places = max(answers, key=lambda a: a[0])
+        total, places, boss = found if lead != 1.0 else (*found, None)
         return pd.DataFrame({"group": str(key[0]), "item": pdf[item].iloc[places].astype(str).to_numpy(), "is_lead": [i == boss for i in places], "total": total})
 
     return df.groupBy(group).applyInPandas(solve, "group string, item string, is_lead boolean, total double")

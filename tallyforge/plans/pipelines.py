@@ -334,7 +334,8 @@ def r162(spark, d):
 
 @q("r163_best_six_with_lead")
 def r163(spark, d):
-    return best_selections(_pool(spark, d), "slate_slug", "player_id", "projection", "salary", 6, 40000, 500, lead=1.5)
+    # the lead scores and costs one and a half times as much: salaries are in hundreds, the lead's in fifties
+    return best_selections(_pool(spark, d), "slate_slug", "player_id", "projection", "salary", 6, 60000, 50, lead=1.5)
 
 
 @q("r164_best_with_locks")

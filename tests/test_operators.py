@@ -203,6 +203,42 @@ def test_best_pick_against_all_combinations():
         assert (got is None) == (not held) and (got is None or got[0] == pytest.approx(max(held)[0]))
 
 
+def test_best_led_pick_against_all_combinations():
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(20):
+        v, c = np.array([rng.random() for _ in range(8)]), np.array([2 * rng.randrange(1, 8) for _ in range(8)])
+        fits = [(sum(v[list(x)]) + v[b] / 2, x, b) for x in combinations(range(8), 4) for b in x if sum(c[list(x)]) + c[b] // 2 <= 30]
+        for locked in (frozenset(), frozenset([0, 5])):
+            held = [f for f in fits if locked <= set(f[1])]
+            got = selection.best_led_pick(v, c, 1.5 * v, c * 3 // 2, 4, 30, locked)
+            assert (got is None) == (not held)
+            if got:
+                assert got[0] == pytest.approx(max(held)[0]) and (got[0], got[1], got[2]) == (pytest.approx(sum(v[got[1]]) + v[got[2]] / 2), sorted(got[1]), got[2])
+                assert sum(c[got[1]]) + c[got[2]] // 2 <= 30 and got[2] in got[1] and locked <= set(got[1])
+
+
+def test_best_selections_charge_exact_costs(spark):
+    # rounded up to 500s, a + b would cost 6000; as lead, b costs 3150
+    pool = spark.createDataFrame([("s", "a", 9.0, 2600.0), ("s", "b", 8.0, 2100.0), ("s", "c", 1.0, 1000.0)], "g string, i string, v double, c double")
+    got = selection.best_selections(pool, "g", "i", "v", "c", 2, 5750, 50, lead=1.5).collect()
+    assert {(r.item, r.is_lead, r.total) for r in got} == {("a", False, 21.0), ("b", True, 21.0)}
+    with pytest.raises(Exception, match="no multiples"):
+        selection.best_selections(pool, "g", "i", "v", "c", 2, 5000, 500).collect()
+
+
+def test_single_game_selections_reach_the_cap(spark, tmp_path):
+    from tallyforge.plans.pipelines import r163
+
+    # six at 9,100 with the lead at 13,650 cost 59,150: over 40,000, within the 60,000
+    spark.createDataFrame([("s1", "2024-01-01T00:00:00Z")], "snapshot_id string, captured_at_utc string").write.parquet(f"{tmp_path}/player_projection_snapshots.parquet")
+    rows = [("s1", "x", f"p{i}", 20.0 + i, 9100.0) for i in range(6)] + [("s1", "x", f"q{i}", 1.0, 4000.0) for i in range(6)]
+    spark.createDataFrame(rows, "snapshot_id string, slate_slug string, player_id string, projection double, salary double").write.parquet(f"{tmp_path}/player_projection_predictions.parquet")
+    got = r163(spark, str(tmp_path)).collect()
+    assert {r.item for r in got} == {f"p{i}" for i in range(6)} and [r.item for r in got if r.is_lead] == ["p5"] and got[0].total == 147.5
+
+
 def test_audits(spark, rows):
     a = spark.createDataFrame([(1, 1.0), (2, None), (3, 1.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0005), (2, None), (4, 1.0)], "k int, v double")
