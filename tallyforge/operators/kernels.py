@@ -60,25 +60,46 @@ def tune_ridge(train: DataFrame, valid: DataFrame, features: list[str], target:
     return sorted((row[f"m{i}"], p) for i, (p, _) in enumerate(models))
 
 
-def fit_logistic(df: DataFrame, features: list[str], target: str, l2: float = 0.1, rate: float = 0.5, steps: int = 30, tol: float = 1e-8) -> dict:
-    """Full-batch gradient descent, started from the logit of the base rate; a gradient is one aggregate of the rows."""
+def fit_logistic(df: DataFrame, features: list[str], target: str, l2: float = 0.1, steps: int = 30, tol: float = 1e-8) -> dict:
+    """Minimum of the mean log loss + l2 / 2n * |weights|^2 by Newton steps from the logit of the base rate.
+
+    A step is one aggregate of the rows: loss, gradient and second derivatives, features x features. Steps that do
+    not lower the loss are halved. It fails if no gradient under `tol` is reached in `steps` passes. A target of one
+    class has no minimum: the result is the base rate, cut at 1e-6, with weights 0.
+    """
     rows = df.filter(F.col(target).isNotNull())
     stats = moments(rows, features)
-    x = rows.select(*[c.alias(f"x{i}") for i, c in enumerate(standardised(features, stats))], F.col(target).cast("double").alias("y"))
+    k = len(features) + 1
+    x = rows.select(F.lit(1.0).alias("x0"), *[c.alias(f"x{i + 1}") for i, c in enumerate(standardised(features, stats))], F.col(target).cast("double").alias("y"))
     first = x.agg(F.avg("y").alias("p"), F.count("*").alias("n")).first()
-    n, p = first["n"], min(max(first["p"] or 0.5, 1e-6), 1 - 1e-6)
-    w, b = np.zeros(len(features)), float(np.log(p / (1 - p)))
-    for _ in range(steps if n else 0):
-        z = F.lit(b)
-        for i, v in enumerate(w):
-            z = z + F.lit(float(v)) * F.col(f"x{i}")
-        e = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0)))) - F.col("y")
-        g = x.agg(F.avg(e).alias("b"), *[F.avg(e * F.col(f"x{i}")).alias(f"g{i}") for i in range(len(w))]).first()
-        step = np.array([g[f"g{i}"] for i in range(len(w))]) + l2 * w / n
-        w, b = w - rate * step, b - rate * g["b"]
-        if np.abs(step).max(initial=abs(g["b"])) < tol:
-            break
-    return {"intercept": b, "beta": dict(zip(features, map(float, w))), "stats": dict(zip(features, stats))}
+    n, p = first["n"], min(max(0.5 if first["p"] is None else first["p"], 1e-6), 1 - 1e-6)
+    ridge = np.diag([0.0] + [l2 / n if n else 0.0] * (k - 1))
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((F.lit(float(v)) * F.col(f"x{i}") for i, v in enumerate(w)), F.lit(0.0))
+        s = x.select("*", z.alias("z")).withColumn("q", 1 / (1 + F.exp(-F.greatest(F.least(F.col("z"), F.lit(35.0)), F.lit(-35.0)))))
+        loss = F.avg(F.greatest("z", F.lit(0.0)) - F.col("y") * F.col("z") + F.log1p(F.exp(-F.abs("z"))))
+        e, c = F.col("q") - F.col("y"), F.col("q") * (1 - F.col("q"))
+        second = [F.avg(c * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]
+        r = s.agg(loss.alias("loss"), *[F.avg(e * F.col(f"x{i}")).alias(f"g{i}") for i in range(k)], *second).first()
+        h = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        return r["loss"] + w @ ridge @ w / 2, np.array([r[f"g{i}"] for i in range(k)]) + ridge @ w, h + ridge
+
+    w = np.array([float(np.log(p / (1 - p)))] + [0.0] * (k - 1))
+    if n and 0 < first["p"] < 1:
+        loss, gradient, second = at(w)
+        for _ in range(steps):
+            if not np.abs(gradient).max() >= tol:
+                break
+            step = np.linalg.pinv(second) @ gradient
+            for half in range(20):
+                tried = at(w - step / 2**half)
+                if tried[0] <= loss + 1e-12 * abs(loss):
+                    break
+            w, (loss, gradient, second) = w - step / 2**half, tried
+        if not np.abs(gradient).max() < tol:
+            raise ArithmeticError(f"no gradient under {tol} after {steps} steps: {np.abs(gradient).max()}")
+    return {"intercept": float(w[0]), "beta": dict(zip(features, map(float, w[1:]))), "stats": dict(zip(features, stats))}
 
 
 def proportional(total: str, weight: str, keys: list[str]) -> Column:

@@ -163,7 +163,7 @@ def r144b(spark, d):
 @q("r146_logistic")
 def r146(spark, d):
     l = Tables(spark, d).lineitem.withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
-    m = K.fit_logistic(l, ["l_quantity", "l_discount"], "y", 0.1, 0.5, 10)
+    m = K.fit_logistic(l, ["l_quantity", "l_discount"], "y", 0.1)
     return spark.createDataFrame([("intercept", float(m["intercept"])), *m["beta"].items()], "feature string, weight double")
 
 

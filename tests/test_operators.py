@@ -156,6 +156,38 @@ def test_ridge_and_logistic_against_numpy(spark):
     assert constant["beta"]["a"] == pytest.approx(0.0)
 
 
+def test_logistic_reaches_its_minimum(spark):
+    from tallyforge.plans.science import r146
+
+    rng = np.random.default_rng(2)
+    q, d = rng.integers(1, 51, 400).astype(float), rng.integers(0, 11, 400) / 100
+    flag = rng.random(400) < 1 / (1 + np.exp(1 - 0.03 * (q - 25)))
+    df = spark.createDataFrame([(float(a), float(b), "R" if f else "N") for a, b, f in zip(q, d, flag)], "l_quantity double, l_discount double, l_returnflag string")
+    z = np.column_stack([np.ones(400), (q - q.mean()) / q.std(), (d - d.mean()) / d.std()])
+    w = np.array([np.log(flag.mean() / (1 - flag.mean())), 0.0, 0.0])
+    for _ in range(3000):  # plain gradient descent, far past the tolerance
+        w = w - 1.0 * (z.T @ (1 / (1 + np.exp(-z @ w)) - flag) / 400 + 0.1 / 400 * np.array([0, w[1], w[2]]))
+
+    class Folder:  # the query over this table instead of a folder's
+        read = type("Read", (), {"parquet": staticmethod(lambda path: df)})
+
+        def createDataFrame(self, *a):
+            return spark.createDataFrame(*a)
+
+    got = {r.feature: r.weight for r in r146(Folder(), "").collect()}
+    assert np.allclose([got["intercept"], got["l_quantity"], got["l_discount"]], w, atol=1e-6)
+
+
+def test_logistic_says_when_there_is_no_minimum(spark):
+    apart = spark.createDataFrame([(float(i), int(i > 5)) for i in range(12)], "a double, y int")
+    assert K.fit_logistic(apart, ["a"], "y", l2=0.1)["beta"]["a"] > 1
+    with pytest.raises(ArithmeticError, match="no gradient"):
+        K.fit_logistic(apart, ["a"], "y", l2=0.0, steps=5)
+    one = K.fit_logistic(apart.withColumn("y", F.lit(0)), ["a"], "y")
+    assert one["beta"]["a"] == 0.0 and one["intercept"] == pytest.approx(math.log(1e-6), abs=1e-5)
+    assert K.fit_logistic(apart.limit(0), ["a"], "y")["beta"]["a"] == 0.0
+
+
 def filled(total, w, cap):
     """Brute force of capped water-filling."""
     out, free = [0.0] * len(w), [i for i in range(len(w)) if w[i] > 0]
