@@ -273,6 +273,14 @@ AMERICAN = {
 }
 
 
+def kickoff_text() -> Column:
+    """Date, clock and zone of a row of dim_game as one text; NULL without a clock. American zone names mean their wall clock."""
+    clock, zone = F.trim("kickoff_local_time"), F.trim("kickoff_timezone")
+    zone = reduce(lambda acc, x: acc.when(zone.rlike(x[1]), F.lit(x[0])), AMERICAN.items(), F.when(F.lit(False), "")).otherwise(zone)
+    full = F.when(clock.rlike(r"^\d{4}-"), clock).otherwise(F.concat_ws(" ", F.trim("game_date"), clock))
+    return F.when(clock != "", F.concat_ws(" ", full, zone))
+
+
 def record_times(capture: DataFrame, events: DataFrame, games: DataFrame) -> DataFrame:
     """The rows for likeliest_readings of source_capture (pubDate), source_events and dim_game (kickoff).
 
@@ -281,11 +289,8 @@ def record_times(capture: DataFrame, events: DataFrame, games: DataFrame) -> Dat
     """
     a = capture.select(F.lit("source_capture").alias("table"), F.col("capture_id").cast("string").alias("record"), "source", F.lpad(F.col("capture_id").cast("string"), 20, "0").alias("place"), F.get_json_object("raw_feed_fields", "$.pubDate").alias("value"))
     b = events.select(F.lit("source_events").alias("table"), F.col("record_id").alias("record"), "source", F.coalesce("retrieved_at_utc", F.lit("")).alias("place"), F.col("raw_publication_timestamp").alias("value"))
-    clock, zone = F.trim("kickoff_local_time"), F.trim("kickoff_timezone")
-    zone = reduce(lambda acc, x: acc.when(zone.rlike(x[1]), F.lit(x[0])), AMERICAN.items(), F.when(F.lit(False), "")).otherwise(zone)
-    full = F.when(clock.rlike(r"^\d{4}-"), clock).otherwise(F.concat_ws(" ", F.trim("game_date"), clock))
     place = F.concat_ws(" ", F.trim("game_date"), "game_id")
-    c = games.select(F.lit("dim_game").alias("table"), F.col("game_id").alias("record"), F.lit("schedule").alias("source"), place.alias("place"), F.when(clock != "", F.concat_ws(" ", full, zone)).alias("value"))
+    c = games.select(F.lit("dim_game").alias("table"), F.col("game_id").alias("record"), F.lit("schedule").alias("source"), place.alias("place"), kickoff_text().alias("value"))
     # one feed name in two tables is two sources
     rows = a.unionByName(b).unionByName(c)
     return rows.withColumn("source", F.concat_ws("/", "table", "source"))

@@ -11,6 +11,8 @@ from tallyforge.functions import scalars as S
 from tallyforge.functions.times import iso_micros, local_to_utc_micros
 from tallyforge.operators import audit
 from tallyforge.operators import kernels as K
+from tallyforge.operators import timestamps
+from tallyforge.operators.windows import global_order_sums
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import scratch_path
 
@@ -236,13 +238,32 @@ def r158(spark, d):
     return K.largest_remainder(l, ["l_orderkey"], "total", "l_quantity", "l_linenumber").select("l_orderkey", "l_linenumber", "units")
 
 
+def kickoff_spans(games):
+    """(game_id, lo, hi): the first and last microsecond at which a game may begin; equal where the kickoff is known.
+
+    Without a zone it is one of the readings in the assumed zones, without a readable clock anywhere in game_date's
+    day, whatever the zone (UTC+14 to UTC-12). Games without a usable date either have NULL.
+    """
+    day = F.unix_date(F.trim("game_date").try_cast("date")).cast("long") * 24 * timestamps.HOUR
+    value = timestamps.kickoff_text()
+    read = timestamps.with_readings(games.select("game_id", day.alias("day"), value.alias("value")), F.col("value"))
+    known = F.size("_us") > 0
+    lo = F.when(known, F.array_min("_us")).otherwise(F.col("day") - 14 * timestamps.HOUR)
+    hi = F.when(known, F.array_max("_us")).otherwise(F.col("day") + 36 * timestamps.HOUR)
+    return read.select("game_id", lo.alias("lo"), hi.alias("hi"))
+
+
 @q("r160_seeded_draw")
 def r160(spark, d):
-    g = Tables(spark, d).dim_game.select("game_id", "season", "game_date", "home_score")
-    past = g.groupBy("season").agg(F.count("*").alias("n"))
-    pool = g.withColumn("i", F.row_number().over(Window.partitionBy("season").orderBy("game_date", "game_id")) - 1)
-    asked = g.withColumn("season", F.col("season") - 1).join(past, "season").select("game_id", "season", K.seeded_index(F.col("game_id"), F.col("n")).alias("i"))
-    return asked.join(pool.select("season", "i", F.col("game_id").alias("drawn"), "home_score"), ["season", "i"]).select("game_id", "drawn", "home_score")
+    """For each game one of all games that began before it, whatever the season; the first ones have none."""
+    games = Tables(spark, d).dim_game
+    spans = kickoff_spans(games)
+    # in the order of time, a game asks at its earliest kickoff and may be drawn from its latest on; at one time asking is first
+    ends = spans.select("game_id", F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(0).alias("is_past")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("is_past"))))).filter("at is not null")
+    placed = global_order_sums(ends, ["at", "is_past", "game_id"], "is_past", "i")
+    asked = placed.filter("is_past = 0").select("game_id", K.seeded_index(F.col("game_id"), F.col("i")).alias("i"))
+    pool = placed.filter("is_past = 1").select("i", F.col("game_id").alias("drawn")).join(games.select(F.col("game_id").alias("drawn"), "home_score"), "drawn")
+    return asked.join(pool, "i").select("game_id", "drawn", "home_score")
 
 
 @q("r161_state_replay", "SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchases, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")

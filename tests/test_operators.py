@@ -235,6 +235,26 @@ def test_best_pick_against_all_combinations():
         assert (got is None) == (not held) and (got is None or got[0] == pytest.approx(max(held)[0]))
 
 
+def test_seeded_draw_from_all_earlier_games(spark, tmp_path):
+    from tallyforge.plans.science import r160
+
+    # (date, clock, zone, first and last possible kickoff in UTC hours since 2020-09-13); the games of a season and of the one before
+    games = [("a", 2020, "2020-09-13", "13:00", "ET", 17, 17), ("b", 2020, "2020-09-13", "1:00 PM", "America/New_York", 17, 17), ("c", 2020, "2020-09-13", "13:00", "PT", 20, 20),
+             ("d", 2020, "2020-09-20", "TBD", None, 154, 204), ("e", 2020, "2020-09-20", "16:00", "ET", 188, 188), ("f", 2021, "2021-09-12", "2021-09-12 13:00:00", "-04:00", 8753, 8753)]
+    games += [(f"g{i:02}", 2022, "2022-09-11", f"{i:02}:00", "ET", 17476 + i, 17476 + i) for i in range(24)]
+    df = spark.createDataFrame([(g, y, day, t, z, i) for i, (g, y, day, t, z, *_) in enumerate(games)], "game_id string, season long, game_date string, kickoff_local_time string, kickoff_timezone string, home_score long")
+    df.write.parquet(f"{tmp_path}/dim_game.parquet")
+    got = {r.game_id: r.drawn for r in r160(spark, str(tmp_path)).collect()}
+    before = {g[0]: {h[0] for h in games if h[6] < g[5]} for g in games}
+    assert set(got) == {g for g, past in before.items() if past} and all(drawn in before[g] for g, drawn in got.items())
+    assert got["c"] in "ab" and {g[:1] for g in got.values()} >= {"g"}  # of the same season too
+    from hashlib import sha256
+
+    order = sorted(games, key=lambda g: (g[6], g[0]))
+    want = {g: order[int(sha256(g.encode()).hexdigest()[:15], 16) % len(past)][0] for g, past in before.items() if past}
+    assert got == want
+
+
 def test_best_led_pick_against_all_combinations():
     from itertools import combinations
 
