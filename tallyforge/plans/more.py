@@ -46,6 +46,12 @@ def r010(spark, d):
     return html_fields(Tables(spark, d).documents.filter("text is not null"), ["doc_id"], "text", "<p>([^<]{1,40})", ["lead"])
 
 
+@q("r010_html_paragraphs", "SELECT doc_id, split_part(part, '</p>', 1) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, '<p>')[2:]) AS part FROM documents WHERE text IS NOT NULL)")
+def r010b(spark, d):
+    """Whole paragraphs, where r010_html_fields has their first 40 characters; one that is not closed ends at the next or with the text."""
+    return html_fields(Tables(spark, d).documents.filter("text is not null"), ["doc_id"], "text", r"(?s)<p>(.*?)(?=</p>|<p>|\z)", ["paragraph"])
+
+
 @q("r014_full_replace", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def r014(spark, d):
     path, n = scratch_path(spark, "table"), Tables(spark, d).nation.select("n_nationkey", "n_name", "n_regionkey")

@@ -327,6 +327,16 @@ def test_readers(spark, rows, tmp_path):
     assert rows(html_fields(page, ["i"], "html", r"<li>(\w) (\d)</li>", ["n", "v"])) == [(1, "A", "5"), (1, "B", "6")]
 
 
+def test_paragraphs_are_whole(spark, rows, tmp_path):
+    from tallyforge.plans.more import r010b
+
+    long = "ä" * 1322
+    texts = [(1, f"<p>{long}</p>\n<p>two\nlines, <b>bold</b>\n</p> no"), (2, None), (3, "none"), (4, "<p></p><p>open <p>last\n")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = [(1, long), (1, "two\nlines, <b>bold</b>\n"), (4, ""), (4, "open "), (4, "last\n")]
+    assert rows(r010b(spark, str(tmp_path))) == rows(spark.createDataFrame(want, "doc_id long, paragraph string"))
+
+
 def test_json_pages(spark):
     from tallyforge.sources import JsonPages
 
