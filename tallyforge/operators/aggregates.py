@@ -40,6 +40,15 @@ def correlation_pairs(df: DataFrame, columns: list[str], least: int = 2) -> Data
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)])))
 
 
+def correlation_pairs_by(df: DataFrame, keys: list[str], columns: list[str], least: int = 2) -> DataFrame:
+    """correlation_pairs in each group: a row for each pair of columns, added up before the shuffle, instead of a wide aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    long = df.select(*keys, F.posexplode(F.array(*[F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("k", "p"))
+    one = long.select(*keys, "k", "p.x", "p.y").groupBy(*keys, "k").agg(guarded_corr("x", "y", least).alias("r"))
+    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("k") + 1)
+    return one.select(*keys, name(0).alias("a"), name(1).alias("b"), "r")
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, spearman): Pearson of average ranks within each group; NULL under three pairs or a constant side."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

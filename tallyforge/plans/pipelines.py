@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tallyforge.operators import kernels as K
 from tallyforge.operators import windows as W
 from tallyforge.operators.selection import best_selections
 from tallyforge.plans.registry import CORE, Tables
+from tallyforge.session import materialise
 
 q = CORE.query
 STATS = ["passing_yards", "carries", "rushing_yards", "targets", "receptions", "receiving_yards", "fantasy_points"]
@@ -142,13 +144,23 @@ def r193(spark, d):
 
 @q("r194_feature_research")
 def r194(spark, d):
-    """|r| of every look-back feature with the points of the game, by position; features at most 12 apart by 0.85."""
+    """Look-back features by position, in the order of |r| with the points of the game: at most 12, none at 0.85 with one before.
+
+    place counts all features, so gaps are those left out. Positions and features are few: their pairs go to the driver.
+    """
     b = box(spark, d)
-    rows = pregame(b).join(b.select(*KEY, "fantasy_points"), KEY)
     feats = [f"{c}_avg_{n}" for c in STATS for n in (3, 5)]
+    rows = materialise(spark, pregame(b).join(b.select(*KEY, "fantasy_points"), KEY).select("position", "fantasy_points", *feats), "features")
     long = rows.select("position", "fantasy_points", *feats).unpivot(["position", "fantasy_points"], feats, "feature", "x")
     out = long.groupBy("position", "feature").agg(F.round(A.guarded_corr("x", "fantasy_points"), 4).alias("r"), F.count("x").alias("n"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy("position").orderBy(F.abs("r").desc(), "feature")))
+    ranked = out.withColumn("place", F.row_number().over(Window.partitionBy("position").orderBy(F.abs("r").desc(), "feature")))
+    places, pairs = defaultdict(list), defaultdict(dict)
+    for x in ranked.collect():
+        places[x.position].append(x)
+    for x in A.correlation_pairs_by(rows, ["position"], feats, 20).collect():
+        pairs[x.position][x.a, x.b] = x.r
+    kept = {p: set(K.greedy_uncorrelated(pairs[p], [x.feature for x in sorted(xs, key=lambda x: x.place)], 0.85, 12)) for p, xs in places.items()}
+    return spark.createDataFrame([x for p, xs in places.items() for x in xs if x.feature in kept[p]], ranked.schema)
 
 
 @q("r195_projection_benchmark")

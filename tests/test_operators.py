@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -255,6 +256,29 @@ def test_seeded_draw_from_all_earlier_games(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_feature_research_leaves_out_correlated_features(spark):
+    from tallyforge.plans.pipelines import KEY, STATS, box, pregame, r194
+
+    folder = "/root/testdata/sf0.001"
+    b = box(spark, folder)
+    feats = [f"{c}_avg_{n}" for c in STATS for n in (3, 5)]
+    table = pregame(b).join(b.select(*KEY, "fantasy_points"), KEY).select("position", "fantasy_points", *feats).toPandas()
+    got: dict = {}
+    for x in sorted(r194(spark, folder).collect(), key=lambda x: x.place):
+        got.setdefault(x.position, []).append(x.feature)
+    assert got
+    for position, kept in got.items():
+        part = table[table.position.isna() if position is None else table.position == position]
+        r = lambda x, y: 0.0 if len(z := part[[x, y]].dropna()) < 20 or z.nunique().min() < 2 else z[x].corr(z[y])  # noqa: B023, E731
+        want: list = []
+        for f in sorted(feats, key=lambda f: (-abs(round(r(f, "fantasy_points"), 4)), f)):
+            if len(want) < 12 and all(abs(r(f, w)) < 0.85 for w in want):
+                want.append(f)
+        assert kept == want, position
+    assert any(len(kept) < len(feats) for kept in got.values())
+
+
 def test_best_led_pick_against_all_combinations():
     from itertools import combinations
 
