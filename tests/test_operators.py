@@ -279,6 +279,15 @@ def test_feature_research_leaves_out_correlated_features(spark):
     assert any(len(kept) < len(feats) for kept in got.values())
 
 
+def test_boosting_runs_all_rounds(spark, tmp_path):
+    from tallyforge.plans.more import r151
+
+    data = [(float(1 + i % 20), 0.05, 0.02, 1000.0 * (1 + i % 20), "FO"[i // 20 % 2]) for i in range(4000)]
+    spark.createDataFrame(data, "l_quantity double, l_discount double, l_tax double, l_extendedprice double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = r151(spark, str(tmp_path)).first()
+    assert got.n == 2000 and got.mae < 50  # after five rounds of depth 3 it is several hundred
+
+
 def test_best_led_pick_against_all_combinations():
     from itertools import combinations
 
