@@ -1,4 +1,4 @@
-"""Scalar functions, kernels, audits, streams and functions of the user."""
+"""Scalar functions, kernels, audits, streams and functions of the user."""
 
 from __future__ import annotations
 
