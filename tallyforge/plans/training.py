@@ -36,9 +36,9 @@ WITH a AS (
 b AS (SELECT entity_table, k, u, x, y,
     last_value(x IGNORE NULLS) OVER w AS fx, last_value(y IGNORE NULLS) OVER w AS fy
   FROM a WHERE u IS NOT NULL WINDOW w AS (PARTITION BY entity_table, k ORDER BY u, x, y ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT *, lag(fx) OVER w AS px, lag(fy) OVER w AS py FROM b WINDOW w AS (PARTITION BY entity_table, k ORDER BY u, x, y))
+c AS (SELECT *, lag(fx) OVER w AS px, lag(fy) OVER w AS py, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY entity_table, k ORDER BY u, x, y))
 SELECT entity_table, k AS entity_key, strftime(make_timestamp(u), '%Y-%m-%dT%H:%M:%SZ') AS valid_from
-FROM c WHERE fx IS DISTINCT FROM px OR fy IS DISTINCT FROM py"""
+FROM c WHERE n = 1 OR fx IS DISTINCT FROM px OR fy IS DISTINCT FROM py"""
 
 
 @CORE.query("p2_found", P2)
@@ -55,8 +55,8 @@ WITH a AS (SELECT identity_key AS k, epoch_us(updated_at::TIMESTAMPTZ) AS u, nul
   FROM player_identity WHERE identity_key IS NOT NULL),
 b AS (SELECT k, u, x, y, last_value(x IGNORE NULLS) OVER w AS fx, last_value(y IGNORE NULLS) OVER w AS fy
   FROM a WHERE u IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY u, x, y ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT *, lag(fx) OVER w AS px, lag(fy) OVER w AS py FROM b WINDOW w AS (PARTITION BY k ORDER BY u, x, y)),
-v AS (SELECT k, fx, fy, u FROM c WHERE fx IS DISTINCT FROM px OR fy IS DISTINCT FROM py)
+c AS (SELECT *, lag(fx) OVER w AS px, lag(fy) OVER w AS py, row_number() OVER w AS n FROM b WINDOW w AS (PARTITION BY k ORDER BY u, x, y)),
+v AS (SELECT k, fx, fy, u FROM c WHERE n = 1 OR fx IS DISTINCT FROM px OR fy IS DISTINCT FROM py)
 SELECT k AS identity_key, fx AS team, fy AS position, u AS valid_from, lead(u) OVER (PARTITION BY k ORDER BY u) AS valid_to FROM v""",
 )
 def p2_identity_versions(spark, d):

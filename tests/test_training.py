@@ -50,10 +50,11 @@ def test_store_is_idempotent_and_spreads_a_hot_message(spark):
 def plain_history(data):
     """Brute force of versions: {(entity, at): state}."""
     out, last = [], {}
+    known = {r[:2] for r in data if any(v is not None for v in r[2:])}
     for e, at, *vals in sorted((r for r in data if r[0] is not None and r[1] is not None), key=lambda r: (r[0], r[1], [(v is not None, v or "") for v in r[2:]])):
         state = last.get(e, (None,) * len(vals))
         new = tuple(v if v is not None else s for v, s in zip(vals, state))
-        if new != state:
+        if new != state or (e not in last and (e, at) not in known):
             out.append((e, at, *new))
             last[e] = new
     return out
@@ -74,11 +75,23 @@ def test_history_against_brute_force(spark):
     assert all(v is None for v in by.values())
 
 
+def test_history_of_a_hot_entity_is_split(spark, monkeypatch):
+    monkeypatch.setattr(history, "RUN_BITS", 3)  # many runs of few blocks
+    entity = F.when(F.col("id") % 50 == 0, F.concat(F.lit("e"), F.col("id"))).otherwise(F.lit("hot"))
+    df = spark.range(200_000).select(entity.alias("entity"), "id", F.when(F.col("id") % 4 > 1, F.when(F.col("id") % 20 < 10, "x").otherwise("y")).alias("x"))
+    got = history.attribute_history(df, "entity", "id", {"x": F.col("x")})
+    hot = [tuple(r) for r in got.filter("entity = 'hot'").orderBy("valid_from").select("valid_from", "valid_to", "x").collect()]
+    want = [r[1:] for r in plain_history([tuple(r) for r in df.filter("entity = 'hot'").collect()])]
+    assert hot == [(a, b, x) for (a, x), b in zip(want, [*[a for a, _ in want[1:]], None])]
+    assert got.filter("entity <> 'hot'").count() == 4000
+
+
 def test_history_of_blank_and_missing_values(spark, rows):
     cols = "gsis_id string, report_status string, updated_at string"
-    data = [("a", None, "2024-01-01T00:00:00Z"), ("a", "out", "2024-01-02T00:00:00Z"), ("a", " OUT ", "2024-01-03T00:00:00+00:00"), ("a", "  ", "2024-01-04T00:00:00Z"), ("a", "Active", "2024-01-05T00:00:00.000000+00:00"), ("a", "x", None), (None, "x", "2024-01-05T00:00:00Z")]
+    data = [("b", " ", "2024-01-02T00:00:00Z"), ("b", None, "2024-01-01T00:00:00Z"), ("c", None, "2024-01-01T00:00:00Z"), ("c", "Out", "2024-01-01T00:00:00Z")]
+    data += [("a", None, "2024-01-01T00:00:00Z"), ("a", "out", "2024-01-02T00:00:00Z"), ("a", " OUT ", "2024-01-03T00:00:00+00:00"), ("a", "  ", "2024-01-04T00:00:00Z"), ("a", "Active", "2024-01-05T00:00:00.000000+00:00"), ("a", "x", None), (None, "x", "2024-01-05T00:00:00Z")]
     got = history.report_history(spark.createDataFrame(data, cols))
-    assert [(r.status, r.valid_to is None) for r in got.orderBy("valid_from").collect()] == [("OUT", False), ("ACTIVE", True)]
+    assert [(r.entity, r.status, r.valid_to is None) for r in got.orderBy("entity", "valid_from").collect()] == [("a", None, False), ("a", "OUT", False), ("a", "ACTIVE", True), ("b", None, True), ("c", "OUT", True)]
     assert rows(history.report_history(spark.createDataFrame([], cols))) == []
 
 
