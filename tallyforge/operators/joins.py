@@ -132,6 +132,8 @@ def two_sided(df: DataFrame, keep: list[str], sides: dict[str, tuple[Column, ...
     return df.select(*keep, F.inline(F.array(*rows)))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A broadcast hint if the table is counted to have at most `rows` rows; else the planner decides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, size: int = 32_000_000) -> DataFrame:
+    """A broadcast hint if the table is found to have at most `rows` rows and `size` bytes as text; else the planner decides."""
+    text = F.octet_length(F.to_json(F.struct(*df.columns)))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and (found["bytes"] or 0) <= size else df
