@@ -100,12 +100,45 @@ def test_label_notations(spark):
     assert [r.code for r in df.collect()] == ["en"] * 6 + ["es", None, None, None, None, "pt", "ja", "de", None, None]
 
 
+def cut(*texts):
+    """(owner, text of the part, whole) of each part."""
+    p = languages.parts(list(texts))
+    return [(int(k), texts[k][b:e].strip(), bool(w)) for k, b, e, w in zip(p.owner, p.begin, p.end, p.whole)]
+
+
 def test_sentences():
-    text = 'Wexfall – Rooks 13:10\n\nDr. J.T. Smith ran 3.5 yards. "We won!" he said.\n{"json": 1.0}\nx = y.z()\n金曜日に再検査を受ける。風が強かった。 12-3 45'
-    assert [text[a:b].strip() for a, b in languages.sentences(text)] == ["Dr. J.T. Smith ran 3.5 yards.", "金曜日に再検査を受ける。", "風が強かった。"] or len(languages.sentences(text)) == 4
-    for none in (None, "", "  \n", "21-8 214 2 | 4:05 65.4", "#GoTeamWeek969156243", '{"a": "b"}'):
-        assert languages.sentences(none) == []
-    assert len(languages.sentences("Good things come to those who wait. " * 3000)) == 3000
+    text = "Dr. J.T. Smith ran 3.5 yards. 「金曜日に再検査を受ける。」風が強かった。そして https://a.b/c?d=1 no end"
+    assert cut(text) == [(0, "Dr. J.T. Smith ran 3.5 yards.", True), (0, "「金曜日に再検査を受ける。」", True), (0, "風が強かった。", True), (0, "そして https://a.b/c?d=1 no end", False)]
+    for none in (None, "", "  \n", "21-8 214 2 | 4:05 65.4", "#GoTeamWeek969156243", "<p>12</p>"):
+        assert cut(none) == []
+    assert cut("x1 GO", None, "") == [(0, "x1 GO", False)] and not any(w for _, _, w in cut('{"a": "b"}'))  # some letters: one part, no sentence
+    assert len(cut("Good things come to those who wait. " * 30_000)) == 30_000  # longer than one piece
+    assert cut("the quick brown fox jumps over the lazy dog and nobody was there to see it") == [(0, "the quick brown fox jumps over the lazy dog and nobody was there to see it", False)]
+    lines = cut("one line of words without a mark\r\nanother line of words (really)")
+    assert [x[1:] for x in lines] == [("one line of words without a mark", False), ("another line of words (really)", False)]
+    long = cut("word " * 5000)
+    assert len(long) >= 25 and all(len(x[1]) <= languages.WINDOW for x in long) and sum(x[1].count("word") for x in long) == 5000
+    assert sum(len(x[1]) for x in cut("語" * 2500)) == 2500
+
+
+def test_parts_do_not_depend_on_the_batch():
+    rng = random.Random(1)
+    bits = ["A", "I. ", "No.", "Mr. ", "word", " Zwei Wörter", "!", "? ", "。", "「", "」", '"', ")", "\n", "\r\n", " ", "\u200b", "e\u0301", "ﬁ", "Ａ１", "&amp;", "&nbsp;", "<b>", "< 3", "1", "2.5", "_x", "a@b.c", "https://q.r", "日本語", "ｶﾞ", "🏈", "\ufeff"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 40))) for _ in range(400)]
+    together = languages.parts(texts)
+    at = 0
+    for k, t in enumerate(texts):
+        one = languages.parts([t])
+        n = len(one.owner)
+        assert (together.owner[at : at + n] == k).all() and (one.begin == together.begin[at : at + n]).all() and (one.end == together.end[at : at + n]).all()
+        assert [one.text(i) for i in range(n)] == [together.text(at + i) for i in range(n)]
+        assert all(0 <= b < e <= len(t) for b, e in zip(one.begin, one.end)) and (one.begin[1:] >= one.end[:-1]).all()
+        at += n
+    assert at == len(together.owner)
+    none, places = languages.normalised("plain é text")
+    assert none == "plain é text" and places.tolist() == list(range(13))
+    changed, places = languages.normalised("a&amp;b<br>e\u0301\u200bz")
+    assert changed == "a&b éz" and places.tolist() == [0, 1, 6, 7, 11, 14, 15]
 
 
 SAMPLES = {
@@ -129,16 +162,40 @@ def test_model_learns_and_finds_segments(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, segment string")
     names = {c: NAMES[c] for c in SAMPLES}
     model = languages.train(df, names)
-    held = [(languages.cleaned(s), c) for c, two in SAMPLES.items() for s in two]
-    assert [model.langs[i] for i in model.logits([h[0] for h in held]).argmax(axis=1)] == [c for _, c in held]
+    held = [(s, c) for c, two in SAMPLES.items() for s in two]
+    assert [model.langs[i] for i in model.logits(languages.parts([h[0] for h in held])).argmax(axis=1)] == [c for _, c in held]
     segments = [(r.lang, r.n_sentences) for r in languages.identified(df, names, model).filter(f"doc_id = {mixed}").orderBy("segment").collect()]
     assert segments == [("en", 1), ("de", 2)]
     found = {(r.doc_id, r.lang) for r in languages.relabelled(df, names, model).collect() if r.doc_id >= mixed}
     assert found == {(mixed, "en"), (mixed, "de"), (mixed + 4, "ja")}
+    # no end mark: a language, but no sentence; rows of one doc_id are not run together, however they are batched
+    loose = spark.createDataFrame([(1, SAMPLES["fr"][0][:-1]), (1, SAMPLES["de"][1]), (1, SAMPLES["de"][1]), (None, SAMPLES["fr"][0]), (2, "\ud83c\udfc8 7")], "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    for n in (1, 3):
+        got = languages.identified(loose.repartition(n), names, model)
+        assert rows_of(got.select("doc_id", "segment", "begin", "lang", "n_sentences")) == [(1, 0, 0, "de", 1), (1, 0, 0, "de", 1), (1, 0, 0, "fr", 0)]
+    assert {tuple(r) for r in languages.relabelled(loose, names, model).collect()} == {(1, "de")}
+    again = languages.Model.loaded(model.saved())
+    assert again.langs == model.langs and again.threshold == model.threshold and (again.vectors == model.vectors).all()
     assert languages.relabelled(df.limit(0), names, model).count() == 0
     assert languages.relabelled(df.withColumn("lang", F.lit(None).cast("string")), names).count() == 0  # nothing to learn from: all rejected
 
 
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_training_sample_is_bounded(spark, tmp_path):
+    one = "The same text is there many times. " * 40
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, one).otherwise(F.concat(F.lit("Text with number words "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit(" in it."))).alias("text"), F.lit("en").alias("lang"))
+    got = languages.labelled_sentences(df, {"en": "English"}, 50)
+    places = got["place"].to_pylist()
+    assert len(set(places)) == 50 and sum(s.startswith(" same text") for s in got["sentence"].to_pylist()) in (0, languages.PER_TEXT)
+    assert max(map(places.count, places)) <= languages.PER_TEXT
+    first, second = (languages.train(df, {"en": "English"}, 50, str(tmp_path)) for _ in range(2))
+    assert len(list(tmp_path.iterdir())) == 1 and (first.vectors == second.vectors).all()
+    assert languages.labelled_sentences(df.limit(0), {"en": "English"}).num_rows == 0
+
+
 @pytest.mark.skipif(not BASE.exists(), reason="no test tables")
 def test_matches_agree_with_known_names(spark, rows):
     i = "gsis_id string, identity_key string, full_name string, football_name string, latest_team string, position string, updated_at string, record string"
