@@ -71,13 +71,34 @@ def null_text(c: Column | str) -> Column:
     return F.when(F.lower(text).isin("nan", "none", "null", "<na>", "n/a", ""), "").otherwise(text)
 
 
-_MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0] != chr(c)}
+def _plain(c: int) -> str:
+    """A character without its marks, as its compatibility decomposition has it; itself where that says nothing."""
+    bare = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))
+    return bare if bare.isalnum() else chr(c)
+
+
+#: Every letter and digit of the basic plane that is written as another with marks or in another form.
+_FORMS = {chr(c): _plain(c) for c in range(0x80, 0x10000) if chr(c).isalnum() and not 0xAC00 <= c < 0xD7A4 and _plain(c) != chr(c)}
+#: Letters that have no decomposition, as they are written without special letters.
+_FORMS |= {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ŋ": "n", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th"}
+_SINGLE = {x: p for x, p in _FORMS.items() if len(p) == 1}
+_SEVERAL = {x: p for x, p in _FORMS.items() if len(p) > 1 and p.isascii()}
+
+
+def unaccented(c: Column | str) -> Column:
+    """Text with letters and digits without marks and in their plain form; marks that stand alone are left out."""
+
+    def plain(text: Column) -> Column:
+        text = F.translate(text, "".join(_SINGLE), "".join(_SINGLE.values()))
+        text = F.when(text.rlike(f"[{''.join(_SEVERAL)}]"), reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), _SEVERAL.items(), text)).otherwise(text)
+        return F.regexp_replace(text, r"\p{Mn}", "")
+
+    return F.when(col(c).rlike(r"[^\x00-\x7f]"), plain(col(c))).otherwise(col(c))
 
 
 def alnum_key(c: Column | str) -> Column:
     """Letters without marks and digits, lower case, nothing else."""
-    plain = F.translate(col(c), "".join(_MARKED), "".join(_MARKED.values()))
-    return F.regexp_replace(F.lower(plain), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(unaccented(c)), "[^a-z0-9]", "")
 
 
 def strip_suffix(c: Column | str) -> Column:
@@ -111,6 +132,11 @@ def season_of(date: Column | str) -> Column:
     return F.year(col(date)) - F.when(F.month(col(date)) >= 3, 0).otherwise(1)
 
 
+def canonical(*cols: str) -> Column:
+    """A row's columns in the given order as JSON with their names and NULLs, so that different rows are different texts."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
 def fingerprint(*cols: str) -> Column:
-    """SHA-256 of a row's columns in the given order, NULL apart from the empty text."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols]), 256)
+    """SHA-256 of a row's columns in the given order, as `canonical` writes them."""
+    return F.sha2(canonical(*cols), 256)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.functions.scalars import fingerprint
+
 
 def expectations(df: DataFrame, checks: dict[str, tuple[Column, float]]) -> DataFrame:
     """(item, value, expected, status): aggregates against expected values, all from one pass over df."""
@@ -31,10 +33,13 @@ def compared(old: DataFrame, new: DataFrame, keys: list[str], values: list[str],
 
 
 def table_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n_rows, digest) of a table, whatever its order: SHA-256 of sums of row hashes, so nothing is collected."""
-    h = F.xxhash64(*columns)
-    parts = [F.count("*").alias("n_rows"), F.sum(F.shiftrightunsigned(h, 33)).alias("a"), F.sum(F.pmod(h, F.lit(2147483647))).alias("b")]
-    return df.agg(*parts).select("n_rows", F.sha2(F.concat_ws("|", "n_rows", "a", "b"), 256).alias("digest"))
+    """(n_rows, digest) of a table, whatever its order: SHA-256 of sums of rows' SHA-256, so nothing is collected.
+
+    A row counts with the names of its columns and its NULLs; of its hash, all 256 bits are summed, in five parts.
+    """
+    rows = df.select(fingerprint(*columns).alias("h"))
+    sums = [F.sum(F.conv(F.substring("h", 1 + 13 * i, 13), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)]
+    return rows.agg(F.count("*").alias("n_rows"), *sums).select("n_rows", F.sha2(F.concat_ws("|", F.lit(",".join(columns)), "n_rows", *[f"s{i}" for i in range(5)]), 256).alias("digest"))
 
 
 def duplicate_sources(sources: DataFrame, name: str, digest: str) -> DataFrame:

@@ -69,9 +69,9 @@ def r131(spark, d):
     return Tables(spark, d).source_capture.select("capture_id", h.like("%expected%").alias("a"), h.startswith("Report").alias("b"), F.upper(h).contains("TRADE").alias("c"))
 
 
-@q("r132_content_hash", "SELECT n_nationkey, sha256(concat_ws('|', coalesce(CAST(n_nationkey AS VARCHAR), chr(0)), coalesce(n_name, chr(0)), coalesce(CAST(n_regionkey AS VARCHAR), chr(0)))) AS digest FROM nation")
+@q("r132_content_hash", "SELECT record_id, sha256(CAST(to_json({'record_id': record_id, 'event_key': event_key, 'game_id': game_id, 'source': source, 'headline': headline}) AS VARCHAR)) AS digest FROM source_events")
 def r132(spark, d):
-    return Tables(spark, d).nation.select("n_nationkey", S.fingerprint("n_nationkey", "n_name", "n_regionkey").alias("digest"))
+    return Tables(spark, d).source_events.select("record_id", S.fingerprint("record_id", "event_key", "game_id", "source", "headline").alias("digest"))
 
 
 @q(
