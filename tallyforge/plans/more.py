@@ -14,7 +14,7 @@ from tallyforge.plans.pipelines import BOX, KEY, ORDER, PW, box
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import scratch_path, shared_dir
 from tallyforge.sources import csv_table, discovered_files, html_fields, rss_items
-from tallyforge.sources.sinks import Ledger, mirror, publish, replace_partitions
+from tallyforge.sources.sinks import Ledger, mirror, publish, published, replace_partitions
 
 q = CORE.query
 
@@ -26,11 +26,14 @@ def r005(spark, d):
     return csv_table(spark, path, "s_suppkey bigint, s_name string, s_acctbal double")
 
 
-@q("r006_directory_discovery", "SELECT 5 AS n_files")
+@q("r006_directory_discovery", "SELECT 'o_orderpriority=' || o_orderpriority AS folder, count(*) AS n_rows FROM orders GROUP BY 1")
 def r006(spark, d):
+    """Files found under a folder by pattern and read as they are found: rows by the folder they lie in."""
     path = scratch_path(spark, "files")
-    Tables(spark, d).region.repartition(5, "r_regionkey").write.partitionBy("r_regionkey").option("header", True).csv(path)
-    return discovered_files(spark, path, "*.csv").agg(F.count_distinct(F.regexp_extract("path", r"r_regionkey=(\d+)", 1)).alias("n_files"))
+    Tables(spark, d).orders.select("o_orderkey", "o_orderpriority").repartition("o_orderpriority").write.partitionBy("o_orderpriority").csv(path)
+    found = discovered_files(spark, path, "*.csv").select(F.regexp_extract("path", r"(o_orderpriority=[^/]+)/", 1).alias("folder"), "path")
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.url_decode(F.regexp_extract(F.input_file_name(), r"(o_orderpriority=[^/]+)/", 1)).alias("folder"))
+    return lines.join(found.select(F.url_decode("folder").alias("folder")).distinct(), "folder").groupBy("folder").agg(F.count("*").alias("n_rows"))
 
 
 @q("r009_rss_items", "SELECT capture_id AS id, trim(headline) AS title FROM source_capture WHERE headline IS NOT NULL")
@@ -41,39 +44,40 @@ def r009(spark, d):
     return rss_items(feed, "xml").select(F.col("guid").cast("bigint").alias("id"), "title")
 
 
-@q("r010_html_fields", r"SELECT doc_id, unnest(regexp_extract_all(text, '<p>([^<]{1,40})', 1)) AS lead FROM documents WHERE text IS NOT NULL")
+@q("r010_html_fields", r"SELECT doc_id, split_part(part, '</p>', 1) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, '<p>')[2:]) AS part FROM documents WHERE text IS NOT NULL)")
 def r010(spark, d):
-    return html_fields(Tables(spark, d).documents.filter("text is not null"), ["doc_id"], "text", "<p>([^<]{1,40})", ["lead"])
-
-
-@q("r010_html_paragraphs", "SELECT doc_id, split_part(part, '</p>', 1) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, '<p>')[2:]) AS part FROM documents WHERE text IS NOT NULL)")
-def r010b(spark, d):
-    """Whole paragraphs, where r010_html_fields has their first 40 characters; one that is not closed ends at the next or with the text."""
+    """Whole paragraphs; one that is not closed ends at the next or with the text."""
     return html_fields(Tables(spark, d).documents.filter("text is not null"), ["doc_id"], "text", r"(?s)<p>(.*?)(?=</p>|<p>|\z)", ["paragraph"])
 
 
-@q("r014_full_replace", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+@q("r014_full_replace", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def r014(spark, d):
-    path, n = scratch_path(spark, "table"), Tables(spark, d).nation.select("n_nationkey", "n_name", "n_regionkey")
-    publish(n, path)
-    publish(n.filter("n_regionkey = 1").drop("n_regionkey"), path)
-    return spark.read.parquet(path)
+    path, o = scratch_path(spark, "table"), Tables(spark, d).orders.select("o_orderkey", "o_custkey", "o_orderstatus")
+    publish(o, path)
+    publish(o.filter("o_orderstatus = 'F'").drop("o_orderstatus"), path)
+    return published(spark, path)
 
 
-@q("r016_partition_replace", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'new' ELSE n_name END AS n_name, n_regionkey FROM nation")
+@q("r016_partition_replace", "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '2%' THEN 'new' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders")
 def r016(spark, d):
-    path, n = scratch_path(spark, "parts"), Tables(spark, d).nation
-    replace_partitions(n, path, ["n_regionkey"])
-    replace_partitions(n.filter("n_regionkey = 2").withColumn("n_name", F.lit("new")), path, ["n_regionkey"])
-    return spark.read.parquet(path).select("n_nationkey", "n_name", "n_regionkey")
+    path, o = scratch_path(spark, "parts"), Tables(spark, d).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    replace_partitions(o, path, ["o_orderpriority"])
+    replace_partitions(o.filter("o_orderpriority like '2%'").withColumn("o_orderstatus", F.lit("new")), path, ["o_orderpriority"])
+    return spark.read.parquet(path).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
-@q("r019_ledger", "SELECT 's1' AS snapshot_id, count(*) AS n FROM region UNION ALL SELECT 's3', count(*) FROM nation")
+@q(
+    "r019_ledger",
+    """WITH p AS (SELECT season, count(*) AS n FROM player_game_stats GROUP BY 1) SELECT 'first' AS snapshot_id, sum(n) AS n FROM p UNION ALL SELECT 'all but the last season', sum(n) FROM p WHERE season < (SELECT max(season) FROM p)
+UNION ALL SELECT 'turned', sum(n) FROM p""",
+)
 def r019(spark, d):
-    t, ledger = Tables(spark, d), Ledger(spark, scratch_path(spark, "ledger"))
-    rows = [t.region.select(F.col("r_name").alias("name")), t.region.select(F.col("r_name").alias("name")), t.nation.select(F.col("n_name").alias("name"))]
-    for i, df in enumerate(rows):
-        ledger.append(f"s{i + 1}", "2024-01-01T00:00:00Z", df)
+    """Snapshots of box scores: the same rows in another order are refused, other rows and moved NULLs are not."""
+    rows, ledger = Tables(spark, d).player_game_stats, Ledger(spark, scratch_path(spark, "ledger"))
+    last = rows.agg(F.max("season")).first()[0]
+    turned = rows.withColumns({"player_name": F.col("player_display_name"), "player_display_name": F.col("player_name")})
+    for name, df in {"first": rows, "again": rows.orderBy("player_id"), "all but the last season": rows.filter(F.col("season") < last), "turned": turned}.items():
+        ledger.append(name, "2024-01-01T00:00:00Z", df)
     return ledger.rows().groupBy("snapshot_id").agg(F.count("*").alias("n"))
 
 

@@ -29,10 +29,14 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int = 8)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, laptops) a folder is made and set for this session.
+    Where the setting is absent and all runs in one process (tests, laptops) a folder is made and set for this session.
+    On a cluster it must be set: a folder of one machine would lose the rows that other machines write.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         found = tempfile.mkdtemp(prefix="tallyforge-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

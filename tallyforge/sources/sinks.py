@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def merged(old: DataFrame, new: DataFrame, keys: list[str], keep_old: list[str] = ()) -> DataFrame:
@@ -34,19 +36,77 @@ def only_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return once.join(old.select(*keys), keys, "left_anti").select(new.columns)
 
 
-def publish(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Write beside the target and move into place; readers see the old table or the new one."""
-    spark = df.sparkSession
-    stage = f"{path}.stage-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(stage)
-    jvm = spark.sparkContext._jvm
-    target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, stage, f"{stage}-old"))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staged, target)
-    fs.delete(old, True)
+class Versions:
+    """Numbered versions of something in a folder: small records, each written once and never changed.
+
+    A version counts from the moment its record is there, and a record is created only where none has its number, so
+    readers see one version or the next, writers cannot take each other's place, and nothing is renamed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def numbers(self) -> list[int]:
+        folder = self._at("_versions")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(folder) if f.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+
+    def record(self, number: int) -> dict:
+        stream = self._fs.open(self._at(f"_versions/{number:010d}"))
+        try:
+            return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def last(self) -> tuple[int, dict] | None:
+        """Number and record of the current version; None before the first."""
+        for number in reversed(self.numbers()):
+            return number, self.record(number)
+        return None
+
+    def commit(self, number: int, record: dict) -> None:
+        """Make `record` version `number`; an error where that number is taken."""
+        out = self._fs.create(self._at(f"_versions/{number:010d}"), False)
+        out.write(json.dumps(record).encode())
+        out.close()
+
+    def forget(self, keep: int, folders) -> None:
+        """Remove all but the last `keep` records, and the data folders that only those name (`folders` of a record)."""
+        numbers = self.numbers()
+        old, kept = numbers[:-keep], numbers[-keep:]
+        used = {f for n in kept for f in folders(self.record(n))}
+        for n in old:
+            for f in set(folders(self.record(n))) - used:
+                self._fs.delete(self._at(f), True)
+            self._fs.delete(self._at(f"_versions/{n:010d}"), False)
+
+
+def publish(df: DataFrame, path: str, partition_by: list[str] = (), keep: int = 2) -> int:
+    """Replace a whole table: a new folder, then its record (`Versions`); `published` reads it. The version's number.
+
+    A failed write leaves the old table. The last `keep` versions stay, so that a reader who has begun can end.
+    """
+    versions = Versions(df.sparkSession, path)
+    last = versions.last()
+    folder = f"data-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{versions.path}/{folder}")
+    number = last[0] + 1 if last else 0
+    versions.commit(number, {"folder": folder, "schema": df.schema.jsonValue()})
+    versions.forget(keep, lambda r: [r["folder"]])
+    return number
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The table that was published last."""
+    last = Versions(spark, path).last()
+    if last is None:
+        raise FileNotFoundError(f"nothing is published in {path}")
+    return spark.read.schema(StructType.fromJson(last[1]["schema"])).parquet(f"{path.rstrip('/')}/{last[1]['folder']}")
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
@@ -58,7 +118,7 @@ def mirror(df: DataFrame, path: str) -> tuple[int, int]:
     """Write Parquet and CSV of the same rows; returns both row counts, read again."""
     spark = df.sparkSession
     publish(df, f"{path}/parquet")
-    saved = spark.read.parquet(f"{path}/parquet")
+    saved = published(spark, f"{path}/parquet")
     saved.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     return saved.count(), spark.read.schema(saved.schema).option("header", True).csv(f"{path}/csv").count()
 

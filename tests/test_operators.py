@@ -15,7 +15,7 @@ from tallyforge.operators import joins as J
 from tallyforge.operators import kernels as K
 from tallyforge.operators import windows as W
 from tallyforge.sources import html_fields, parquet_or_csv, resolved_columns, rss_items
-from tallyforge.sources.sinks import Ledger, merged, mirror, newest, only_new, publish, replace_partitions
+from tallyforge.sources.sinks import Ledger, Versions, merged, mirror, newest, only_new, publish, published, replace_partitions
 
 
 def values(spark, exprs, schema, data):
@@ -338,8 +338,14 @@ def test_audits(spark, rows):
 def test_writers(spark, rows, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     publish(df, f"{tmp_path}/t")
-    publish(df.limit(1), f"{tmp_path}/t")
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 1
+    old = published(spark, f"{tmp_path}/t")
+    assert publish(df.limit(1).drop("v"), f"{tmp_path}/t") == 1
+    assert rows(published(spark, f"{tmp_path}/t")) == [(1,)] and rows(old) == [(1, "a"), (2, "b")]  # who has begun can end
+    assert publish(df, f"{tmp_path}/t") == 2 and len(list((tmp_path / "t").glob("data-*"))) == 2  # the first version is gone
+    with pytest.raises(Exception, match="exist"):
+        Versions(spark, f"{tmp_path}/t").commit(2, {"folder": "other"})  # a number is taken once
+    with pytest.raises(FileNotFoundError):
+        published(spark, f"{tmp_path}/none")
     replace_partitions(df, f"{tmp_path}/p", ["k"])
     replace_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), f"{tmp_path}/p", ["k"])
     assert rows(spark.read.parquet(f"{tmp_path}/p").select("k", "v")) == [(1, "a"), (2, "c")]
@@ -347,6 +353,27 @@ def test_writers(spark, rows, tmp_path):
     ledger = Ledger(spark, f"{tmp_path}/l")
     assert ledger.append("s1", "now", df) and not ledger.append("s2", "later", df.orderBy(F.desc("k"))) and not ledger.append("s1", "later", df.limit(1))
     assert ledger.append("s2", "later", df.limit(1)) and ledger.rows().count() == 3
+    assert ledger.append("s4", "later", spark.createDataFrame([(None, "a")], "k string, v string")) and ledger.append("s5", "later", spark.createDataFrame([("a", None)], "k string, v string"))
+
+
+def test_hashes_tell_rows_apart(spark, rows):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a"), ("a", None), ("", "a"), ("null", "a")], "x string, y string")
+    assert df.select(S.fingerprint("x", "y")).distinct().count() == 6
+    marks = {audit.table_fingerprint(df.filter(F.col("x").eqNullSafe(r.x) & F.col("y").eqNullSafe(r.y)), ["x", "y"]).first()["digest"] for r in df.collect()}
+    assert len(marks) == 6
+    assert audit.table_fingerprint(df.limit(0), ["x", "y"]).first()["n_rows"] == 0
+    one = lambda c, v: spark.createDataFrame([(v,)], "x string").select(c).first()[0]
+    assert [one(S.alnum_key("x"), v) for v in ("Nguyễn Thế", "ﬁne Ｗ１", "Strauß Ærø", "Łódź", "e\u0301t", None)] == ["nguyenthe", "finew1", "straussaero", "lodz", "et", None]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tallyforge.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="share"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
 
 
 def test_readers(spark, rows, tmp_path):
@@ -361,13 +388,13 @@ def test_readers(spark, rows, tmp_path):
 
 
 def test_paragraphs_are_whole(spark, rows, tmp_path):
-    from tallyforge.plans.more import r010b
+    from tallyforge.plans.more import r010
 
     long = "ä" * 1322
     texts = [(1, f"<p>{long}</p>\n<p>two\nlines, <b>bold</b>\n</p> no"), (2, None), (3, "none"), (4, "<p></p><p>open <p>last\n")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [(1, long), (1, "two\nlines, <b>bold</b>\n"), (4, ""), (4, "open "), (4, "last\n")]
-    assert rows(r010b(spark, str(tmp_path))) == rows(spark.createDataFrame(want, "doc_id long, paragraph string"))
+    assert rows(r010(spark, str(tmp_path))) == rows(spark.createDataFrame(want, "doc_id long, paragraph string"))
 
 
 def test_json_pages(spark):
