@@ -9,23 +9,21 @@ not in the master: what the rule would answer without that entity is a mistake.
 from __future__ import annotations
 
 import dataclasses
-import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.scalars import unaccented
 from tallyforge.functions.times import iso_micros
 from tallyforge.session import materialise, scratch_path
 
 UNKNOWN = 0.05  # share of records taken to name an entity that the master does not hold
 PRIOR, WEIGHT = 0.8, 10.0  # precision of a rule without labelled records, and how many records that belief weighs
 LABELLED = 20_000  # labelled records (about, chosen by hash) on which precision is measured, whatever the tables' size
-LEAST = 0.6  # matches of less confidence are none
+LEAST = 0.6  # p6_found gives matches of at least this confidence; p6_matches gives all
 
-#: Letters with marks and the letters they are written as without, from the decompositions of Unicode.
-_MARKED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFKD", chr(c))[0] != chr(c)}
-_MARKED |= dict(zip("øØłŁđĐıŋ", "oOlLdDin"))
-SUFFIX = r"\s+(jr|sr|ii|iii|iv|v)$"
+SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 
 
 def _let(value: Column, then) -> Column:
@@ -35,20 +33,14 @@ def _let(value: Column, then) -> Column:
 
 def folded(name: Column) -> Column:
     """Lower case without marks, points, apostrophes and outer blanks; `Last, First` is turned round."""
-    marks, plain = "".join(_MARKED), "".join(_MARKED.values())
-
-    def signs(text: Column) -> Column:
-        # what is left of decomposed marks, and signs inside a name
-        text = F.lower(F.regexp_replace(text, r"[̀-ͯ.'`‘’ʼ]", ""))
-        return F.regexp_replace(text, r"[^\p{L}\p{N},]+", " ")
+    bare = F.regexp_replace(F.lower(F.translate(_let(name, unaccented), ".'`‘’ʼ", "")), r"[^\p{L}\p{N},]+", " ")
 
     def turned(text: Column) -> Column:
-        suffixed = text.rlike(r",\s*(jr|sr|ii|iii|iv|v)\s*$")
-        return F.when(suffixed | ~text.contains(","), text).otherwise(F.regexp_replace(text, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", "$2 $1"))
+        suffixed = text.rlike(rf",\s*({'|'.join(SUFFIXES)})\s*$")
+        text = F.when(suffixed, text).otherwise(F.regexp_replace(text, r"^\s*([^,]+?)\s*,\s*([^,]+?)\s*$", "$2 $1"))
+        return F.regexp_replace(text, r"[\s,]+", " ")
 
-    bare = _let(name, lambda n: F.when(n.rlike(r"[^\x00-\x7f]"), F.translate(n, marks, plain)).otherwise(n))
-    text = _let(signs(bare), lambda t: F.trim(F.regexp_replace(turned(t), r"[\s,]+", " ")))
-    return _let(text, lambda t: F.nullif(t, F.lit("")))
+    return _let(bare, lambda t: F.nullif(F.trim(F.when(t.contains(","), turned(t)).otherwise(t)), F.lit("")))
 
 
 def name_parts(df: DataFrame, name: Column) -> DataFrame:
@@ -57,16 +49,11 @@ def name_parts(df: DataFrame, name: Column) -> DataFrame:
     Rows without a name are left out. Names are folded once each: the distinct rows stand between that and the
     parts, else the planner would fold a name again for every part.
     """
-    df = df.withColumn("_n", folded(name)).filter("_n is not null").distinct()
-    df = df.withColumn("suffix", F.regexp_extract("_n", SUFFIX, 1)).withColumn("_b", F.regexp_replace("_n", SUFFIX, ""))
-    df = df.withColumn("first", F.regexp_extract("_b", r"^(\S+)", 1)).withColumn("last", F.regexp_replace(F.regexp_replace("_b", r"^\S+\s*", ""), r"\s", ""))
-    return df.withColumn("whole", F.concat("first", "last")).drop("_n", "_b")
-
-
-def without_one(word: Column) -> Column:
-    """A word and what is left of it without each of its letters: equal for words one slip of the pen apart."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, 1, i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.when(F.length(word) >= 3, F.array_distinct(F.concat(F.array(word), cut))).otherwise(F.array(word))
+    df = df.withColumn("_n", folded(name)).filter("_n is not null").distinct().withColumn("_w", F.split("_n", " "))
+    has = F.element_at("_w", -1).isin(SUFFIXES) & (F.size("_w") > 1)
+    df = df.withColumn("suffix", F.when(has, F.element_at("_w", -1)).otherwise("")).withColumn("first", F.col("_w")[0])
+    df = df.withColumn("last", F.array_join(F.slice("_w", 2, F.size("_w") - F.when(F.col("suffix") != "", 2).otherwise(1)), ""))
+    return df.withColumn("whole", F.concat("first", "last")).drop("_n", "_w")
 
 
 def consonants(word: str) -> Column:
@@ -86,26 +73,18 @@ class Rule:
     def title(self) -> str:
         return f"{self.name}+team:{self.team}+position:{self.position}"
 
-    def keys(self) -> Column:
-        """The keys of a row with name parts, team and position; empty where an attribute it needs is missing."""
-        c = F.col
-        each = lambda xs, *rest: F.transform(xs, lambda x: F.concat_ws("|", x, *rest))
-        initial = F.substring("first", 1, 1)
-        by_name = {
-            "whole+suffix": F.array(F.concat_ws("|", "whole", "suffix")),
-            "whole": F.array(c("whole")),
-            "initial+last+suffix": F.array(F.concat_ws("|", initial, "last", "suffix")),
-            "initial+last": F.array(F.concat_ws("|", initial, "last")),
-            "slip in first": each(without_one(c("first")), c("last")),
-            "slip in last": each(without_one(c("last")), c("first")),
-            "consonants": F.array(F.concat_ws("|", consonants("first"), consonants("last"))),
-        }[self.name]
-        rest = [F.lit(self.title)] + [c(x) for x in ("team", "position") if getattr(self, x) != "any"]
-        needed = c("whole").isNotNull() & (c("last") != "")
-        for x in ("team", "position"):
-            if getattr(self, x) != "any":
-                needed = needed & c(x).isNotNull()
-        return F.when(needed, F.transform(by_name, lambda k: F.xxhash64(k, *rest))).otherwise(F.array().cast("array<bigint>"))
+    @property
+    def family(self) -> tuple[str, str]:
+        """What the rule's join is on: how names are compared, and the place that goes with them. Rules may share it."""
+        kind = {"whole+suffix": "whole", "initial+last": "initial", "initial+last+suffix": "initial"}.get(self.name, self.name)
+        return kind, "team" if self.team != "any" else "position" if self.position != "any" else "none"
+
+    def agrees(self) -> Column:
+        """What a pair of one key must have besides: of the record suffix and position, of the master m_suffix and so on."""
+        out = F.col("m_suffix") == F.col("suffix") if self.name.endswith("suffix") else F.lit(True)
+        out = out & F.col("m_now_team") if self.team == "now" else out
+        out = out & F.col("m_now_position") if self.position == "now" else out
+        return out & (F.col("m_position") == F.col("position")) if self.family[1] == "team" and self.position != "any" else out
 
     def applies(self) -> Column:
         """Initials are compared only where a record has no more than an initial."""
@@ -137,42 +116,100 @@ RULES = [
 ]
 
 
-def cascade(records: DataFrame, master: DataFrame, rules: list[Rule] = RULES, unknown: float = UNKNOWN) -> DataFrame:
+#: Rules by number that are joined at once; between the waves resolved records leave the cascade. A rule of a later
+#: wave is weaker than all of those before.
+WAVES = [range(0, 5), range(5, 18), range(18, 20)]
+PROFILE = ["first", "last", "whole", "suffix", "team", "position"]
+
+
+def keyed(df: DataFrame, kind: str, place: str) -> DataFrame:
+    """df's rows with `key` for a family of rules, one for each way to write the name; none where an attribute is missing.
+
+    For a slip of the pen that is the word and what is left of it without each of its letters: words one slip apart
+    have one of these in common.
+    """
+    rows = df.filter("last != ''")
+    if place != "none":
+        rows = rows.filter(F.col(place).isNotNull())
+    if kind.startswith("slip"):
+        word, other = ("first", "last") if kind == "slip in first" else ("last", "first")
+        rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(F.length(word) >= 3, F.length(word)).otherwise(0))))
+        a, b = F.concat(F.substring(word, F.lit(1), F.col("_i") - 1), F.substring(word, F.col("_i") + 1, F.length(word))), F.col(other)
+    elif kind == "consonants":
+        a, b = consonants("first"), consonants("last")
+    else:
+        a, b = (F.substring("first", 1, 1), F.col("last")) if kind == "initial" else (F.col("whole"), F.lit(""))
+    key = F.xxhash64(F.lit(f"{kind} by {place}"), a, b, F.col(place) if place != "none" else F.lit(""))
+    return rows.withColumn("key", key).drop("_i")
+
+
+def cascade(records: DataFrame, master: DataFrame, rules: list[Rule] = RULES, waves: list[range] = WAVES, unknown: float = UNKNOWN) -> DataFrame:
     """(record, entity, rule, confidence) of the records that a rule resolves.
 
-    records: record (unique), truth (entity for labelled records, else NULL), name parts, team, position.
+    records: record (unique, not NULL), truth (entity for labelled records, else NULL), name parts, team, position.
     master: entity, name parts, team, position, now_team, now_position (whether these are the entity's last), any
     number of rows per entity. Attributes that are NULL match nothing. A record whose keys lead to several
     entities is left to the next rule. Labelled records take part in every rule, and are not returned.
+
+    Records that agree in all attributes are one profile, so a name that very many records share is asked once per
+    team and position. Entities and profiles are numbers meanwhile. The rules of a wave are joined together, those of
+    one family by the same keys; of the rules that resolve a profile the first counts, which is what anti-joins between
+    them would leave.
     """
     spark = records.sparkSession
-    asking, marked = records.filter("truth is null"), records.filter("truth is not null")
-    path, fields = scratch_path(spark, "hits"), f"record string, low {dict(master.dtypes)['entity']}, high {dict(master.dtypes)['entity']}, truth string, rule string"
-    for k, rule in enumerate(rules):
-        side = master
-        for x in ("team", "position"):
-            if getattr(rule, x) == "now":
-                side = side.filter(f"now_{x}")
-        keys = side.select("entity", F.explode(rule.keys()).alias("key")).filter("entity is not null")
-        # one row per key, whatever the number of entities that share it: the first and the last are all that is needed
-        keys = keys.groupBy("key").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
-        pending = asking
-        if k:
-            solved = spark.read.schema(fields).parquet(path).filter("truth is null and low = high").select("record")
-            pending = asking.join(solved, "record", "left_anti")
-        asked = pending.unionByName(marked).filter(rule.applies()).select("record", "truth", F.explode(rule.keys()).alias("key"))
-        hits = asked.join(keys, "key").groupBy("record").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("truth").alias("truth"))
-        hits.withColumn("rule", F.lit(rule.title)).write.mode("append").parquet(path)
-    hits = spark.read.schema(fields).parquet(path)
+    master = materialise(spark, master, "master")
+    entities = master.select("entity").filter("entity is not null").distinct().withColumn("eid", F.monotonically_increasing_id())
+    entities = materialise(spark, entities, "entities")  # the numbers must stay the same
+    # one row per name and place, whatever the number of entities that share it: the first and the last are all that is needed
+    ends = F.min("eid").alias("low"), F.max("eid").alias("high")
+    side = materialise(spark, master.join(entities, "entity").groupBy(*PROFILE, "now_team", "now_position").agg(*ends), "numbered")
+    truth = records.filter("truth is not null").select("truth", *PROFILE).join(entities.select(F.col("entity").alias("truth"), "eid"), "truth", "left")
+    marked = truth.select(F.lit(True).alias("marked"), F.coalesce("eid", F.lit(-1)).alias("truth"), *PROFILE)
+    asking = records.filter("truth is null").select(*PROFILE).distinct().select(F.lit(False).alias("marked"), F.lit(-2).cast("long").alias("truth"), *PROFILE)
+    asking = materialise(spark, asking.unionByName(marked).withColumn("profile", F.monotonically_increasing_id()), "profiles")
+    path, fields = scratch_path(spark, "hits"), "profile bigint, marked boolean, truth bigint, rule int, low bigint, high bigint"
+    done = scratch_path(spark, "resolved")
+    for n, wave in enumerate(waves):
+        families = list(dict.fromkeys(rules[i].family for i in wave))
+        pending = asking.join(spark.read.schema("profile bigint").parquet(done), "profile", "left_anti") if n else asking
+        held, tried = [], []
+        for f, family in enumerate(families):
+            mine = [rules[i] for i in wave if rules[i].family == family]
+            used = {"suffix": any(r.name.endswith("suffix") for r in mine), "position": family[1] == "team", "now_team": any(r.team == "now" for r in mine), "now_position": any(r.position == "now" for r in mine)}
+            shown = [(F.col(c) if used[c] else F.lit(None).cast(dict(side.dtypes)[c])).alias(f"m_{c}") for c in used]
+            own = keyed(side, *family).select("key", "low", "high", *shown)
+            if not family[0].startswith("slip"):  # different names that share a slip are few; rows of other keys may be many
+                own = own.groupBy("key", *[f"m_{c}" for c in used]).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+            held.append(own)
+            applies = reduce(lambda a, b: a | b, [r.applies() for r in mine])
+            tried.append(keyed(pending.filter(applies), *family).select("key", "profile", "marked", "truth", "suffix", "position", "first", F.lit(f).alias("family")))
+        held, tried = (reduce(DataFrame.unionByName, x) for x in (held, tried))
+        bounds = []
+        for i in wave:
+            fits = (F.col("family") == families.index(rules[i].family)) & rules[i].applies() & rules[i].agrees()
+            bounds += [F.min(F.when(fits, F.col("low"))).alias(f"low_{i}"), F.max(F.when(fits, F.col("high"))).alias(f"high_{i}")]
+        hits = tried.join(held, "key").groupBy("profile", "marked", "truth").agg(*bounds)
+        each = F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(f"low_{i}").alias("low"), F.col(f"high_{i}").alias("high")) for i in wave]))
+        hits.select("profile", "marked", "truth", each).filter("low is not null").write.mode("append").parquet(f"{path}/wave={n}")
+        if n + 1 < len(waves):
+            now = spark.read.schema(fields).parquet(f"{path}/wave={n}").filter("not marked and low = high").select("profile").distinct()
+            now.write.mode("append").parquet(done)
+    hits = spark.read.schema(fields).parquet(*[f"{path}/wave={n}" for n in range(len(waves))])
     one = F.col("low") == F.col("high")
     right = one & (F.col("low") == F.col("truth"))
     # without its own entity, a record that led to two would lead to the other
     fooled = (one & ~right) | (~one & ((F.col("low") == F.col("truth")) | (F.col("high") == F.col("truth"))))
-    seen = hits.filter("truth is not null").groupBy("rule").agg(F.count_if(right).alias("right"), F.count_if(one & ~right).alias("wrong"), F.count_if(fooled).alias("fooled"))
-    solved = hits.filter(F.col("truth").isNull() & one).select("record", F.col("low").alias("entity"), "rule")
-    solved = solved.join(seen, "rule", "left").na.fill(0, ["right", "wrong", "fooled"])  # a row per rule on the right
-    confidence = (F.col("right") + PRIOR * WEIGHT) / (F.col("right") + F.col("wrong") + unknown * F.col("fooled") + WEIGHT)
-    return solved.select("record", "entity", "rule", confidence.alias("confidence"))
+    seen = {r["rule"]: r for r in hits.filter("marked").groupBy("rule").agg(F.count_if(right).alias("right"), F.count_if(one & ~right).alias("wrong"), F.count_if(fooled).alias("fooled")).collect()}  # a row per rule
+    table = []
+    for i, rule in enumerate(rules):
+        r, w, f = (seen[i]["right"], seen[i]["wrong"], seen[i]["fooled"]) if i in seen else (0, 0, 0)
+        table.append((F.lit(rule.title), F.lit((r + PRIOR * WEIGHT) / (r + w + unknown * f + WEIGHT))))
+    solved = hits.filter(~F.col("marked") & one).groupBy("profile").agg(F.min(F.struct("rule", F.col("low").alias("eid"))).alias("b")).select("profile", "b.*").join(entities, "eid")
+    known = solved.join(asking.select("profile", *PROFILE), "profile")
+    same = [records[c].eqNullSafe(known[c]) for c in PROFILE]
+    out = records.filter("truth is null").join(known, reduce(lambda a, b: a & b, same)).select(records["record"], "entity", "rule")
+    at = lambda k: F.element_at(F.array(*[t[k] for t in table]), F.col("rule") + 1)
+    return out.select("record", "entity", at(0).alias("rule"), at(1).alias("confidence"))
 
 
 def _position(col: Column) -> Column:
@@ -181,20 +218,27 @@ def _position(col: Column) -> Column:
 
 
 def identity_rows(identity: DataFrame) -> DataFrame:
-    """player_identity as the master: every name, team and position that an entity has had, and which were last."""
+    """player_identity as the master: every name with the team and position it was seen with, and with the last ones.
+
+    now_team and now_position say which rows have an entity's last team and position. Names and places are not all
+    paired: an entity has a row for each combination that was seen, and one for each name at its last place.
+    """
     rows = identity.select(
-        F.col("gsis_id").alias("own"), F.col("identity_key").alias("who"), "full_name", "football_name",
+        F.col("gsis_id").alias("own"), F.coalesce("identity_key", F.concat(F.lit("GSIS:"), F.col("gsis_id"))).alias("who"), F.array_distinct(F.array(F.trim("full_name"), F.trim("football_name"))).alias("name"),
         F.nullif(F.upper(F.trim("latest_team")), F.lit("")).alias("team"), _position(F.col("position")).alias("position"), iso_micros(F.col("updated_at")).alias("at"),
-    ).filter("who is not null or own is not null").withColumn("who", F.coalesce("who", F.concat(F.lit("GSIS:"), F.col("own"))))
+    ).filter("who is not null")
+    seen = rows.withColumn("name", F.explode("name")).groupBy("who", "name", "team", "position").agg(F.max("at").alias("at"), F.max("own").alias("own"))
+    seen = materialise(identity.sparkSession, seen, "seen")
     named = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("at", c)))[c]
-    last = rows.groupBy("who").agg(F.max("own").alias("entity"), named("team").alias("last_team"), named("position").alias("last_position"))
-    names = rows.select("who", F.explode(F.array_distinct(F.array(F.trim("full_name"), F.trim("football_name")))).alias("name")).distinct()
-    names = name_parts(names.select("who", "name"), F.col("name")).select("who", "first", "last", "whole", "suffix").filter("whole != ''")
+    last = seen.groupBy("who").agg(F.max("own").alias("entity"), named("team").alias("last_team"), named("position").alias("last_position")).filter("entity is not null")
+    parts = materialise(identity.sparkSession, name_parts(seen.select("who", "name"), F.col("name")).filter("whole != ''"), "names")
     # a name without its suffix is the same player's; the suffix seen in another of his names belongs to it
-    names = names.groupBy("who").agg(F.max("suffix").alias("suffix"), F.collect_set(F.struct("whole", "first", "last")).alias("n")).select("who", "suffix", F.explode("n").alias("n")).select("who", "suffix", "n.*")
-    places = rows.select("who", "team", "position").distinct()
-    out = names.join(places, "who").join(last, "who")
-    return out.select("entity", "first", "last", "whole", "suffix", "team", "position", F.coalesce(F.col("team") == F.col("last_team"), F.lit(False)).alias("now_team"), F.coalesce(F.col("position") == F.col("last_position"), F.lit(False)).alias("now_position")).filter("entity is not null")
+    last = last.join(parts.groupBy("who").agg(F.max("suffix").alias("suffix")), "who")
+    names = parts.select("who", "name", "first", "last", "whole")
+    there = seen.select("who", "name", "team", "position").join(names, ["who", "name"]).drop("name")
+    here = names.drop("name").join(last.select("who", F.col("last_team").alias("team"), F.col("last_position").alias("position")), "who")
+    out = there.unionByName(here).distinct().join(last, "who")
+    return out.select("entity", "first", "last", "whole", "suffix", "team", "position", F.coalesce(F.col("team") == F.col("last_team"), F.lit(False)).alias("now_team"), F.coalesce(F.col("position") == F.col("last_position"), F.lit(False)).alias("now_position"))
 
 
 def canonical_teams(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -224,31 +268,29 @@ def list_rows(players: DataFrame) -> DataFrame:
 
 def labelled_rows(stats: DataFrame, injuries: DataFrame, most: int = LABELLED) -> DataFrame:
     """Records whose entity is known: names, short and long, of box scores and injury reports with their gsis_id."""
-    short = F.regexp_replace("player_name", r"^(\S)\.\s*", "$1. ")
-    a = stats.select(F.col("player_id").alias("truth"), short.alias("name"), "team", "position")
-    b = stats.select(F.col("player_id").alias("truth"), F.col("player_display_name").alias("name"), "team", "position")
+    a = stats.select(F.col("player_id").alias("truth"), F.explode(F.array("player_name", "player_display_name")).alias("name"), "team", "position")
     c = injuries.select(F.col("gsis_id").alias("truth"), F.col("player_name").alias("name"), "team", "position")
-    rows = a.unionByName(b).unionByName(c).filter("truth is not null and name is not null")
+    rows = a.unionByName(c).filter("truth is not null and name is not null")
     # about `most` of the distinct rows, chosen by hash before any shuffle and before any name is taken apart
     mark = F.xxhash64("truth", "name", "team", "position")
     counted = rows.agg(F.approx_count_distinct(mark)).first()[0]
     rows = rows.filter(F.pmod(mark, F.lit(1 << 40)) / float(1 << 40) < min(1.0, most / max(1, counted))).distinct()
-    rows = rows.select("truth", "name", F.upper(F.trim("team")).alias("team"), _position(F.col("position")).alias("position"))
+    spaced = F.regexp_replace("name", r"^(\S)\.\s*", "$1. ")  # `F.Last` of the box scores
+    rows = rows.select("truth", spaced.alias("name"), F.upper(F.trim("team")).alias("team"), _position(F.col("position")).alias("position"))
     rows = name_parts(rows, F.col("name")).select("truth", "first", "last", "whole", "suffix", "team", "position").distinct()
     return rows.withColumn("record", F.concat_ws("\u0001", F.lit("label"), "truth", F.xxhash64("first", "last", "suffix", "team", "position").cast("string")))
 
 
-def matched_players(players: DataFrame, identity: DataFrame, stats: DataFrame, injuries: DataFrame, least: float = LEAST) -> DataFrame:
+def matched_players(players: DataFrame, identity: DataFrame, stats: DataFrame, injuries: DataFrame, least: float = 0.0) -> DataFrame:
     """(id, gsis_id, rule, confidence): a row for each id with a match of at least `least` confidence.
 
-    Of an id spelled in several ways the most confident match holds (ties: the earlier rule, then the smaller
+    Of an id spelled in several ways the most confident match holds (ties: the earlier rule, then the greater
     gsis_id). Rows without id, without any name, and defences have none; empty tables give none.
     """
     spark = players.sparkSession
-    columns = ["record", "truth", "first", "last", "whole", "suffix", "team", "position"]
+    columns = ["record", "truth", *PROFILE]
     records = list_rows(players).select(columns).unionByName(labelled_rows(stats, injuries).select(columns))
-    master = materialise(spark, identity_rows(identity), "master")
-    found = cascade(materialise(spark, records, "records"), master).filter(F.col("confidence") >= least)
+    found = cascade(materialise(spark, records, "records"), identity_rows(identity)).filter(F.col("confidence") >= least)
     order = F.create_map(*[F.lit(x) for i, r in enumerate(RULES) for x in (r.title, -i)])
     best = found.withColumn("id", F.split_part("record", F.lit("\u0001"), F.lit(1))).groupBy("id").agg(F.max(F.struct("confidence", order[F.col("rule")].alias("place"), "entity", "rule")).alias("b"))
     return best.select("id", F.col("b.entity").alias("gsis_id"), "b.rule", "b.confidence")

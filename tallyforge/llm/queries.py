@@ -51,18 +51,20 @@ def p9_segments(spark, d):
     return languages.identified(documents, names)
 
 
-def _matches(spark, d):
+def _matches(spark, d, least):
     from tallyforge.llm import matching
 
     t = Tables(spark, d)
-    return matching.matched_players(t.fanduel_players_list, t.player_identity, t.player_game_stats, t.injury_consensus_current)
+    return matching.matched_players(t.fanduel_players_list, t.player_identity, t.player_game_stats, t.injury_consensus_current, least)
 
 
 @LLM.query("p6_found")
 def p6_found(spark, d):
-    return _matches(spark, d).select("gsis_id", "id")
+    from tallyforge.llm import matching
+
+    return _matches(spark, d, matching.LEAST).select("gsis_id", "id")
 
 
 @LLM.query("p6_matches")
 def p6_matches(spark, d):
-    return _matches(spark, d)
+    return _matches(spark, d, 0.0)
