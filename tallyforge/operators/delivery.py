@@ -3,72 +3,116 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.times import iso_micros
 from tallyforge.session import scratch_path, width
+from tallyforge.sources.sinks import Versions
+
+LAST = 2**62  # sorts deliveries without a time behind all others
 
 
 class SortedRunStore:
-    """Hash-bucketed, sorted storage of deliveries under an identifier.
+    """Hash-bucketed, sorted storage of deliveries under an identifier, in a folder that can be opened again.
 
-    `upsert` appends one sorted run per bucket. A row's run number is a hash of its delivery id, and rows are
-    bucketed by identifier, content and run, so a message that makes up a third of all rows is spread over as
-    many buckets as the session has shuffle partitions. `compacted` merges in two passes: within a run (the
-    bucketed scan gives the partitioning, no shuffle), then the runs' survivors, at most one per run and
-    message. Upserts are idempotent: a batch delivered twice gives equal rows, and equal rows are one delivery.
+    `upsert` appends sorted runs: one file per bucket. Rows are bucketed by identifier, content and slice, a hash of
+    the delivery, so a message that makes up a third of all rows is spread over as many buckets as the session has
+    shuffle partitions. Upserts are idempotent: a batch that comes twice gives equal rows, and equal rows are one
+    delivery. `compact` merges all runs into one: per identifier and content the earliest delivery stays (at a tie
+    the smallest id), first within buckets, without a shuffle, then over the slices' survivors. The merged run
+    takes the place of the others with the record of a new generation; the ids of dropped deliveries are kept.
 
     Columns: ident (never NULL), digest (content hash or NULL), body (fingerprint of the content or NULL),
-    seen (microseconds or NULL, NULL last), delivery (unique id).
+    seen (microseconds or NULL, NULL last), delivery (unique id), batch (which batch brought it).
     """
 
-    COLUMNS = ("ident", "digest", "body", "seen", "delivery")
-
-    def __init__(self, spark: SparkSession, runs: int | None = None, buckets: int | None = None):
-        self.spark = spark
-        self.runs = runs or max(8, width(spark))
-        self.buckets = buckets or max(8, width(spark))
-        self.table = f"sorted_runs_{uuid.uuid4().hex}"
-        self.path = scratch_path(spark, "runs")
-        self.empty = True
-        atexit.register(self.drop)
-
-    def drop(self) -> None:
-        """Forget the table; its files lie in the shared folder and go with the session's other scratch files."""
+    COLUMNS = "ident string, digest string, body binary, seen bigint, delivery bigint, batch string"
+    KEYS = ("ident", "digest", "body", "slice")
+
+    def __init__(self, spark: SparkSession, path: str | None = None, slices: int | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or scratch_path(spark, "runs")
+        self.versions = Versions(spark, self.path)
+        last = self.versions.last()
+        if last is None:
+            record = {"folder": f"runs-{uuid.uuid4().hex}", "dropped": [], "slices": slices or max(8, width(spark)), "buckets": buckets or max(8, width(spark))}
+            self.versions.commit(0, record)
+            last = 0, record
+        self._use(*last)
+
+    def _use(self, number: int, record: dict) -> None:
+        self.number, self.record = number, record
+        location = f"{self.path}/{record['folder']}"
+        self.table = f"sorted_runs_{hashlib.sha256(location.encode()).hexdigest()[:32]}"
+        keys = ", ".join(self.KEYS)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} ({self.COLUMNS}, slice int) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}, seen, delivery) INTO {record['buckets']} BUCKETS LOCATION '{location}'")
+        atexit.register(self._drop, self.table)
+
+    def _drop(self, table: str) -> None:
+        """Forget the table; its files stay, as they are the folder's."""
         try:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         except Exception:  # the session may be gone already
             pass
 
+    def _append(self, rows: DataFrame, table: str) -> None:
+        """Write rows that are partitioned as the table's buckets are: each task writes the one file of its bucket."""
+        n = self.record["buckets"]
+        rows.write.format("parquet").bucketBy(n, *self.KEYS).sortBy(*self.KEYS, "seen", "delivery").mode("append").saveAsTable(table)
+
     def upsert(self, batch: DataFrame) -> SortedRunStore:
-        keys = ("ident", "digest", "body", "run")
-        rows = batch.select(*self.COLUMNS).withColumn("run", F.pmod(F.xxhash64("delivery"), F.lit(self.runs)).cast("int"))
-        # the same hash as the table's buckets: each task writes the one file of its bucket
-        rows = rows.repartition(self.buckets, *keys)
-        writer = rows.write.format("parquet").option("path", self.path).bucketBy(self.buckets, *keys).sortBy(*keys, "seen", "delivery")
-        writer.mode("overwrite" if self.empty else "append").saveAsTable(self.table)
-        self.empty = False
+        """Append rows (COLUMNS) of one batch or several as sorted runs."""
+        columns = [c.split()[0] for c in self.COLUMNS.split(", ")]
+        rows = batch.select(*columns, F.pmod(F.xxhash64("delivery"), F.lit(self.record["slices"])).cast("int").alias("slice"))
+        self._append(rows.repartition(self.record["buckets"], *self.KEYS), self.table)
         return self
 
-    def _ranked(self) -> DataFrame:
-        run = Window.partitionBy("ident", "digest", "body", "run").orderBy(F.col("seen").asc_nulls_last(), "delivery")
-        return self.spark.table(self.table).withColumn("place", F.rank().over(run)).withColumn("line", F.row_number().over(run))
+    def runs(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def compact(self) -> SortedRunStore:
+        """Merge all runs into one. A compaction that breaks off leaves the runs as they were."""
+        first = F.min(F.struct(F.coalesce("seen", F.lit(LAST)).alias("at"), "delivery", "batch")).alias("first")
+        heads = self.runs().groupBy(*self.KEYS).agg(first)
+        # the slices' survivors of a content meet; a merged run has slice 0
+        # (slices are 0 or more; a literal would leave the grouping, and rows would be shuffled once more)
+        heads = heads.withColumn("slice", F.least("slice", F.lit(0))).repartition(self.record["buckets"], *self.KEYS)
+        one = heads.groupBy(*self.KEYS).agg(F.min("first").alias("first"))
+        record = self.record | {"folder": f"runs-{uuid.uuid4().hex}", "dropped": [*self.record["dropped"], f"dropped-{uuid.uuid4().hex}"]}
+        old, before = self.table, self.runs()
+        number = self.number
+        self._use(number, record)
+        rows = one.select("ident", "digest", "body", F.when(F.col("first.at") != LAST, F.col("first.at")).alias("seen"), "first.delivery", "first.batch", "slice")
+        self._append(rows, self.table)
+        gone = before.select("delivery").distinct().join(self.runs().select("delivery"), "delivery", "left_anti")
+        gone.write.parquet(f"{self.path}/{record['dropped'][-1]}")
+        self.versions.commit(number + 1, record)
+        self.number = number + 1
+        self.versions.forget(1, lambda r: [r["folder"], *r["dropped"]])
+        self._drop(old)
+        return self
 
-    def compacted(self) -> DataFrame:
-        """Every delivery once, with `kept`: true for the one that stays of each identifier and content."""
-        ranked = self._ranked()
-        beaten = ranked.filter((F.col("place") > 1)).select("delivery", F.lit(False).alias("kept"))
-        heads = ranked.filter((F.col("place") == 1) & (F.col("line") == 1))
-        same_body = Window.partitionBy("ident", "body")
-        # a missing hash is that of the row of the same identifier with the same values, else the values count
-        digest = F.coalesce("digest", F.when(F.col("body").isNotNull(), F.min("digest").over(same_body)))
-        heads = heads.withColumn("content", F.coalesce(F.concat(F.lit("d"), digest), F.concat(F.lit("b"), F.col("body")), F.lit("")))
-        merged = Window.partitionBy("ident", "content").orderBy(F.col("seen").asc_nulls_last(), "delivery")
-        heads = heads.withColumn("place", F.rank().over(merged))
-        return beaten.unionByName(heads.select("delivery", (F.col("place") == 1).alias("kept"))).distinct()
+    def dropped(self) -> DataFrame:
+        """(delivery): those that are copies of one that stays, over all that was compacted.
+
+        Contents that differ in form may still be one: a missing hash is that of a row of the same identifier with
+        the same values, else the values count. So the merged run has a row for each form, and of those of one content
+        the earliest stays.
+        """
+        forms = self.runs()
+        bodies = forms.filter("digest is not null and body is not null").groupBy("ident", "body").agg(F.min("digest").alias("_known"))
+        hashed, bare, plain = forms.filter("digest is not null"), forms.filter("digest is null and body is not null").join(bodies, ["ident", "body"], "left"), forms.filter("digest is null and body is null")
+        content = lambda df, c: df.select("ident", c.alias("content"), "seen", "delivery")
+        marked = lambda c: F.concat(F.lit("d"), c)
+        each = content(hashed, marked(F.col("digest"))).unionByName(content(bare, F.coalesce(marked(F.col("_known")), F.concat(F.lit("b"), F.hex("body"))))).unionByName(content(plain, F.lit("")))
+        best = each.groupBy("ident", "content").agg(F.min(F.struct(F.coalesce("seen", F.lit(LAST)).alias("at"), "delivery"))["delivery"].alias("delivery"))
+        out = each.select("delivery").join(best.select("delivery"), "delivery", "left_anti")
+        if self.record["dropped"]:
+            out = out.unionByName(self.spark.read.schema("delivery bigint").parquet(*[f"{self.path}/{x}" for x in self.record["dropped"]]))
+        return out.distinct()
 
 
 def body_fingerprint(raw) -> F.Column:
@@ -88,19 +132,26 @@ def deliveries(capture: DataFrame) -> DataFrame:
     return capture.select(
         ident.alias("ident"),
         F.when(digest != "", digest).alias("digest"),
-        body_fingerprint(F.col("raw_feed_fields")).alias("body"),
+        F.unhex(body_fingerprint(F.col("raw_feed_fields"))).alias("body"),
         iso_micros(F.col("first_seen_at_utc")).alias("seen"),
-        F.col("capture_id").alias("delivery"),
+        F.col("capture_id").cast("long").alias("delivery"),
+        F.col("batch_id").cast("string").alias("batch"),
     ).filter("ident is not null and ident != ''")
 
 
-def dropped_deliveries(capture: DataFrame) -> DataFrame:
+def dropped_deliveries(capture: DataFrame, path: str | None = None) -> DataFrame:
     """capture_id of each delivery that is a copy of one that stays.
 
     Two rows are copies if the identifier is the same (letter case and blanks around it aside) and so is the
     content: the hash, or where a hash is missing the values in raw_feed_fields. The earliest first_seen_at_utc
     stays, at a tie the smallest capture_id; a missing or unusable time is later than any other. Rows with
     neither hash nor values are copies of each other under one identifier. An empty table gives no rows.
+
+    The table goes into the store (in `path`, or a new one) as it came, in an earlier and a later part, and is
+    compacted after each, so that what the first compaction kept meets what came after it.
     """
-    store = SortedRunStore(capture.sparkSession).upsert(deliveries(capture))
-    return store.compacted().filter(~F.col("kept")).select(F.col("delivery").alias("capture_id"))
+    store, middle = SortedRunStore(capture.sparkSession, path), capture.agg(F.percentile_approx("capture_id", 0.5)).first()[0]
+    late = F.coalesce(F.col("capture_id") > F.lit(middle), F.lit(True))
+    for part in (capture.filter(~late), capture.filter(late)):
+        store.upsert(deliveries(part)).compact()
+    return store.dropped().select(F.col("delivery").alias("capture_id"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import delivery, history, snapshot_diff, timestamps, trailing
 
-CAPTURE = "capture_id bigint, source_event_id string, content_hash string, raw_feed_fields string, first_seen_at_utc string, place string, seen string"
+CAPTURE = "capture_id bigint, source_event_id string, content_hash string, raw_feed_fields string, first_seen_at_utc string, batch_id string, seen string"
 
 
 def capture(spark, data):
@@ -36,15 +36,32 @@ def test_dropped_deliveries(spark, rows):
     assert rows(delivery.dropped_deliveries(capture(spark, []))) == []
 
 
-def test_store_is_idempotent_and_spreads_a_hot_message(spark):
+def test_store_is_idempotent_and_spreads_a_hot_message(spark, tmp_path):
     rows = delivery.deliveries(capture(spark, [(i, "hot", "h", None, f"2024-01-01T00:00:{i % 60:02d}Z") for i in range(1, 3001)]))
-    store = delivery.SortedRunStore(spark, runs=8).upsert(rows).upsert(rows)
-    out = store.compacted()
-    assert out.count() == 3000 and out.filter("kept").collect()[0]["delivery"] == 60
-    per_run = spark.table(store.table).groupBy("run").count()
-    assert per_run.count() == 8 and per_run.agg(F.max("count")).first()[0] < 2 * 3000 / 4
+    store = delivery.SortedRunStore(spark, f"{tmp_path}/store", slices=8).upsert(rows).upsert(rows)
+    per_slice = store.runs().groupBy("slice").count()
+    assert per_slice.count() == 8 and per_slice.agg(F.max("count")).first()[0] < 2 * 2 * 3000 / 8
+    store.compact()
+    assert store.dropped().count() == 2999 and store.runs().collect()[0]["delivery"] == 60
+    again = delivery.SortedRunStore(spark, f"{tmp_path}/store")  # opened again: what was merged is there, old runs are gone
+    assert again.runs().count() == 1 and len(list((tmp_path / "store").glob("runs-*"))) == 1
     later = delivery.deliveries(capture(spark, [(9001, "hot", "h", None, "2023-01-01T00:00:00Z")]))
-    assert store.upsert(later).compacted().filter("kept").collect()[0]["delivery"] == 9001
+    again.upsert(later).upsert(rows).compact()
+    assert again.runs().collect()[0]["delivery"] == 9001 and again.dropped().count() == 3000
+
+
+def test_store_links_forms_over_compactions(spark, rows, tmp_path):
+    body = '{"title": "a"}'
+    batches = [
+        [(1, "x", "h", body, "2024-01-02T00:00:00Z"), (2, "x", "h", body, "2024-01-01T00:00:00Z")],
+        [(3, "x", None, body, "2024-01-03T00:00:00Z"), (4, "x", "h", None, "2024-01-05T00:00:00Z")],
+        [(5, "x", None, None, "2024-01-01T00:00:00Z"), (6, "x", None, '{"title": "b"}', None)],
+    ]
+    store = delivery.SortedRunStore(spark, f"{tmp_path}/store", buckets=3)
+    for b in batches:
+        store.upsert(delivery.deliveries(capture(spark, b))).compact()
+    assert rows(store.dropped()) == [(1,), (3,), (4,)]
+    assert rows(delivery.dropped_deliveries(capture(spark, sum(batches, [])))) == [(1,), (3,), (4,)]
 
 
 def plain_history(data):
