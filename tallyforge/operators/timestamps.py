@@ -17,13 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.times import iso_micros
 from tallyforge.session import materialise
 
 SWITCH, BACK = 1.0, 2.0  # costs of a change of notation and of a step back in time
 BLOCK_BITS = 10
 ASSUMED = ["UTC", "America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles"]
-#: Hours east of UTC of the abbreviations that publications use.
+#: Hours east of UTC of the abbreviations that publications use; several where it stands for several zones.
 ABBREVIATIONS = {"Z": 0, "UTC": 0, "UT": 0, "GMT": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "AKST": -9, "AKDT": -8, "HST": -10}
+ABBREVIATIONS |= {"WET": 0, "WEST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3, "SGT": 8, "HKT": 8, "AWST": 8, "JST": 9, "KST": 9, "AEST": 10, "AEDT": 11, "NZST": 12, "NZDT": 13, "BST": (1, 6), "IST": (5.5, 2, 1)}
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 HOUR = 3_600_000_000
 
@@ -41,12 +43,13 @@ LAYOUTS = [
 
 
 def _wall_to_utc(local: Column, zone: Column) -> Column:
-    """The instants (microseconds) at which clocks in `zone` show `local`: none, one or two."""
-    shown = F.timestamp_micros(local)
-    first = F.to_utc_timestamp(shown, zone)
-    shows = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone)) == local
-    us = F.unix_micros(first)
-    return F.array_sort(F.filter(F.array(us - HOUR, us, us + HOUR), shows))
+    """The instants (microseconds) at which clocks in `zone` show `local`: none, one or two, whatever a change's length.
+
+    Clocks differ from UTC as they did a day before or as they do a day later.
+    """
+    shown = lambda us: F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone))
+    tried = [local - (shown(local + d) - (local + d)) for d in (-26 * HOUR, 26 * HOUR)]
+    return F.array_sort(F.array_distinct(F.filter(F.array(*tried), lambda us: shown(us) == local)))
 
 
 def _parts(text: Column) -> Column:
@@ -59,8 +62,9 @@ def with_readings(df: DataFrame, value: Column) -> DataFrame:
     """df with `_us` (instants), `_fmt` (a code of the notation for each) and `_stated` (the value names its zone).
 
     Text that is NULL, blank or no date with a time has no reading, nor has a date or time that does not exist or
-    a wall clock time that a change of clocks skips. A repeated wall clock time has two. A value without a zone
-    (or with one unknown) has a reading for each of ASSUMED. Bare numbers are seconds, from 12 digits on
+    a wall clock time that a change of clocks skips. A repeated wall clock time has two. A value without a zone has a
+    reading for each of ASSUMED; one that names a zone which is unknown has none, as it excludes those. An
+    abbreviation of several zones has a reading for each. Bare numbers are seconds, from 12 digits on
     milliseconds; dates with slashes are month/day/year; abbreviations are fixed offsets; an offset next to a zone
     name decides. Fractions finer than microseconds are cut off.
     """
@@ -82,18 +86,19 @@ def with_readings(df: DataFrame, value: Column) -> DataFrame:
     micro = F.coalesce(F.rpad(F.substring(p(7), 1, 6), 6, "0").cast("long"), F.lit(0))
     local = ((day.cast("long") * 24 + hour) * 60 + minute) * 60_000_000 + second * F.lit(1_000_000) + micro
     zone = F.upper(p(9))
-    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    table = F.create_map(*[x for name, hours in ABBREVIATIONS.items() for x in (F.lit(name), F.array(*[F.lit(int(h * 60)).cast("long") for h in (hours if isinstance(hours, tuple) else (hours,))]))])
     signed = F.regexp_replace(zone, "^(UTC|GMT)(?=[+-])", "")
     hh, mm = F.regexp_extract(signed, r"^[+-](\d{1,2})", 1).try_cast("int"), F.coalesce(F.regexp_extract(signed, r"^[+-]\d{1,2}:?(\d{2})$", 1).try_cast("int"), F.lit(0))
     minutes = F.when((hh <= 18) & (mm <= 59), (hh * 60 + mm) * F.when(signed.startswith("-"), -1).otherwise(1))
-    offset = F.when(signed.rlike(r"^[+-]"), minutes.cast("long")).otherwise(F.try_element_at(table, zone).cast("long") * 60)
-    region = F.coalesce(p(10), p(11))
+    offset = F.when(signed.rlike(r"^[+-]"), F.when(minutes.isNotNull(), F.array(minutes.cast("long")))).otherwise(F.try_element_at(table, zone))
+    named = F.coalesce(p(10), p(11))
+    region = named
     region = F.when(region.isin(sorted(zoneinfo.available_timezones())), region)
-    df = df.withColumns({"_local": local, "_offset": offset, "_region": region, "_bad": signed.rlike(r"^[+-]") & minutes.isNull()})
+    df = df.withColumns({"_local": local, "_offset": offset, "_region": region, "_bad": F.coalesce(signed.rlike(r"^[+-]") & minutes.isNull(), F.lit(False)), "_named": zone.isNotNull() | named.isNotNull()})
     code = lambda *x: F.xxhash64(*x)
     reading = lambda us, fmt: F.transform(us, lambda u: F.struct(u.alias("us"), fmt.alias("fmt")))
     layout = F.col("_p")[0]
-    by_offset = F.array(F.struct((F.col("_local") - F.col("_offset") * 60_000_000).alias("us"), code(layout, F.lit("offset")).alias("fmt")))
+    by_offset = F.transform("_offset", lambda m: F.struct((F.col("_local") - m * 60_000_000).alias("us"), code(layout, F.lit("offset"), F.when(F.size("_offset") > 1, m)).alias("fmt")))
     by_region = reading(_wall_to_utc(F.col("_local"), F.col("_region")), code(layout, F.col("_region")))
     by_guess = F.flatten(F.array(*[reading(_wall_to_utc(F.col("_local"), F.lit(z)), code(layout, F.lit(z), F.lit("?"))) for z in ASSUMED]))
     bare = F.when(F.col("_t").rlike(r"^-?\d{1,18}(\.\d+)?$"), F.col("_t"))
@@ -103,9 +108,9 @@ def with_readings(df: DataFrame, value: Column) -> DataFrame:
     count = F.floor(scaled).try_cast("long")
     by_number = F.array(F.struct(count.alias("us"), code(F.lit("number"), digits >= 12).alias("fmt")))
     none = F.filter(by_number, lambda r: F.lit(False))
-    found = F.when(count.isNotNull(), by_number).when(F.col("_local").isNull() | F.col("_bad"), none).when(F.col("_offset").isNotNull(), by_offset).when(F.col("_region").isNotNull(), by_region).otherwise(by_guess)
+    found = F.when(count.isNotNull(), by_number).when(F.col("_local").isNull() | F.col("_bad"), none).when(F.col("_offset").isNotNull(), by_offset).when(F.col("_region").isNotNull(), by_region).when(F.col("_named"), none).otherwise(by_guess)
     df = df.withColumn("_r", F.coalesce(found, none)).withColumn("_stated", count.isNotNull() | F.col("_offset").isNotNull() | F.col("_region").isNotNull())
-    return df.withColumns({"_us": F.transform("_r", lambda r: r["us"]), "_fmt": F.transform("_r", lambda r: r["fmt"])}).drop("_t", "_p", "_date", "_y", "_m", "_d", "_first", "_local", "_offset", "_region", "_bad", "_r")
+    return df.withColumns({"_us": F.transform("_r", lambda r: r["us"]), "_fmt": F.transform("_r", lambda r: r["fmt"])}).drop("_t", "_p", "_date", "_y", "_m", "_d", "_first", "_local", "_offset", "_region", "_bad", "_named", "_r")
 
 
 # ---- paths -----------------------------------------------------------------------------------------------------
@@ -235,10 +240,11 @@ def likeliest_readings(records: DataFrame) -> DataFrame:
     utc_micros is the reading on the source's best path, NULL for a value without any; determined: the value
     names its zone and has one reading only, so it stands whatever the path.
     """
-    rows = with_readings(records.withColumn("source", F.coalesce("source", F.lit(""))), F.col("value"))
-    rows = rows.select("table", "record", "source", "place", F.col("_us").alias("us"), F.col("_fmt").alias("fmt"), F.col("_stated").alias("stated"))
+    # text is put in order before it is read: ranges are found by a pass of their own, which would read it once more
+    rows = records.select("table", "record", F.coalesce("source", F.lit("")).alias("source"), "place", "value")
     rows = rows.repartitionByRange("source", "place", "record").sortWithinPartitions("source", "place", "record")
-    rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    rows = with_readings(rows.withColumn("seq", F.monotonically_increasing_id()), F.col("value"))
+    rows = rows.select("table", "record", "source", "place", "seq", F.col("_us").alias("us"), F.col("_fmt").alias("fmt"), F.col("_stated").alias("stated"))
     rows = rows.withColumn("block", F.shiftright("seq", BLOCK_BITS)).withColumn("above", F.shiftright("seq", 2 * BLOCK_BITS)).drop("place")
     rows = materialise(records.sparkSession, rows, "readings")  # the numbering must be one and the same for all that follows
     read = rows.filter(F.size("us") > 0)
@@ -284,11 +290,12 @@ def kickoff_text() -> Column:
 def record_times(capture: DataFrame, events: DataFrame, games: DataFrame) -> DataFrame:
     """The rows for likeliest_readings of source_capture (pubDate), source_events and dim_game (kickoff).
 
-    Records come in arrival order: capture_id, for events retrieved_at_utc and for games the schedule's order. A
+    Records come in arrival order: capture_id, for events the instant of retrieved_at_utc (those without one first)
+    and for games the schedule's order. A
     kickoff whose text has a date of its own needs no game_date.
     """
     a = capture.select(F.lit("source_capture").alias("table"), F.col("capture_id").cast("string").alias("record"), "source", F.lpad(F.col("capture_id").cast("string"), 20, "0").alias("place"), F.get_json_object("raw_feed_fields", "$.pubDate").alias("value"))
-    b = events.select(F.lit("source_events").alias("table"), F.col("record_id").alias("record"), "source", F.coalesce("retrieved_at_utc", F.lit("")).alias("place"), F.col("raw_publication_timestamp").alias("value"))
+    b = events.select(F.lit("source_events").alias("table"), F.col("record_id").alias("record"), "source", F.coalesce(F.lpad((iso_micros(F.col("retrieved_at_utc")) + 2**61).cast("string"), 20, "0"), F.lit("")).alias("place"), F.col("raw_publication_timestamp").alias("value"))
     place = F.concat_ws(" ", F.trim("game_date"), "game_id")
     c = games.select(F.lit("dim_game").alias("table"), F.col("game_id").alias("record"), F.lit("schedule").alias("source"), place.alias("place"), kickoff_text().alias("value"))
     # one feed name in two tables is two sources
