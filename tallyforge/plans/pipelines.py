@@ -12,7 +12,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.operators import joins as J
 from tallyforge.operators import kernels as K
 from tallyforge.operators import windows as W
-from tallyforge.operators.selection import best_selections
+from tallyforge.operators.selection import Rules, best_selections, constrained_selections
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import materialise
 
@@ -357,3 +357,51 @@ def r164(spark, d):
     return best_selections(pool, "slate_slug", "player_id", "projection", "salary", 9, 60000, 100, locked="locked")
 
 
+#: One quarterback, two runners, three receivers, a tight end, one more of these three and a defence.
+NINE = tuple(frozenset(x.split("/")) for x in ("QB", "RB", "RB", "WR", "WR", "WR", "TE", "RB/WR/TE", "D"))
+CLASSIC = Rules(NINE, 600, per_team=4, leader="QB", followers=frozenset(["WR", "TE"]), same=1, opposed=1, overlap=7, share=0.6)
+
+
+def _kinds(spark, d) -> DataFrame:
+    """Each player's last known position."""
+    i = Tables(spark, d).player_identity.filter("gsis_id is not null and trim(position) <> ''")
+    at = F.max_by(F.upper(F.trim("position")), F.struct(iso_micros(F.col("updated_at")), F.upper(F.trim("position"))))
+    return i.groupBy(F.col("gsis_id").alias("player_id")).agg(at.alias("kind"))
+
+
+def _kinded_pool(spark, d) -> DataFrame:
+    """The last pool of each slate with kind, team and opponent; defences are of kind D."""
+    p = Tables(spark, d).player_projection_predictions
+    who = p.groupBy("slate_slug", "player_id").agg(F.max("team").alias("team"), F.max("opponent_team").alias("opponent_team"), F.max("is_dst").alias("is_dst"))
+    rows = _pool(spark, d).join(who, ["slate_slug", "player_id"]).join(_kinds(spark, d), "player_id", "left")
+    return rows.withColumn("kind", F.when(F.col("is_dst") == 1, "D").when(F.col("kind") == "FB", "RB").otherwise(F.col("kind")))
+
+
+@q("r162_portfolio")
+def r162b(spark, d):
+    """Three selections of each slate by slots, at most four of a team, a receiver with the quarterback and one against him."""
+    return constrained_selections(_kinded_pool(spark, d), "slate_slug", "player_id", "projection", "salary", "kind", "team", "opponent_team", CLASSIC, 100, n=3)
+
+
+@q("r164_slots_kept")
+def r164b(spark, d):
+    """The best nine by slots in which the dearest quarterback and the cheapest defence are fixed already."""
+    w = Window.partitionBy("slate_slug", "kind")
+    pool = _kinded_pool(spark, d).filter("projection is not null and salary is not null")
+    first = F.row_number().over(w.orderBy(F.desc("salary"), "player_id")) == 1
+    last = F.row_number().over(w.orderBy("salary", "player_id")) == 1
+    pool = pool.withColumn("locked", ((F.col("kind") == "QB") & first) | ((F.col("kind") == "D") & last))
+    return constrained_selections(pool, "slate_slug", "player_id", "projection", "salary", "kind", "team", "opponent_team", Rules(NINE, 600, per_team=4), 100, locked="locked")
+
+
+@q("r165_hindsight_ties")
+def r165(spark, d):
+    """What would have been best in each slate: one lead and five, by the points made that week; all tied selections.
+
+    Points are whole: of equal sums there are many, and none is left out.
+    """
+    t = Tables(spark, d)
+    week = t.player_projection_predictions.join(t.player_projection_snapshots.select("snapshot_id", "season", "week").distinct(), "snapshot_id").groupBy("slate_slug").agg(F.max("season").alias("season"), F.max("week").alias("week"))
+    made = box(spark, d).groupBy("season", "week", "player_id").agg(F.sum("fantasy_points").alias("points"))
+    rows = _kinded_pool(spark, d).join(week, "slate_slug").join(made, ["season", "week", "player_id"]).withColumn("points", F.round("points")).withColumn("kind", F.lit("any"))
+    return constrained_selections(rows, "slate_slug", "player_id", "points", "salary", "kind", "team", "opponent_team", Rules((frozenset(["any"]),) * 6, 1200, lead=1.5), 50, ties=True)

@@ -415,3 +415,56 @@ def test_core_stands_alone():
     code = "import sys; sys.modules['tallyforge.llm'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries() and 'p6_found' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
     assert not [p for p in (root / "tallyforge").rglob("*.py") if "llm" not in p.parts and "tallyforge.llm" in p.read_text()]
+
+
+def enumerated(value, cost, kind, team, opponent, rules, locked, prior):
+    """All best selections by trying every one."""
+    import itertools
+
+    best, found = -1e18, []
+    for picks in itertools.combinations(range(len(value)), len(rules.slots)):
+        if not any(all(kind[i] in s for i, s in zip(p, rules.slots)) for p in itertools.permutations(picks)) or not locked <= set(picks):
+            continue
+        if any(sum(team[i] == t for i in picks) > rules.per_team for t in set(team)) or any(len(set(picks) & p) > rules.overlap for p in prior):
+            continue
+        follow = [y for y in picks if kind[y] in rules.followers]
+        if any(kind[x] == rules.leader and (sum(team[y] == team[x] for y in follow) < rules.same or sum(team[y] == opponent[x] for y in follow) < rules.opposed) for x in picks):
+            continue
+        for lead in picks if rules.lead != 1 else [-1]:
+            if sum(cost[i] * (rules.lead if i == lead else 1) for i in picks) > rules.cap:
+                continue
+            total = sum(value[i] * (rules.lead if i == lead else 1) for i in picks)
+            if total > best + 1e-9:
+                best, found = total, []
+            if total > best - 1e-9:
+                found.append((picks, lead))
+    return best, sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_constrained_selections_against_all(seed):
+    rng = random.Random(seed)
+    n = 10
+    kind, team = [rng.choice("QRW") for _ in range(n)], [rng.choice("abcd") for _ in range(n)]
+    opponent = [{"a": "b", "b": "a", "c": "d", "d": "c"}[t] for t in team]
+    value, cost = [float(rng.randint(-1, 6)) for _ in range(n)], [2 * rng.randint(1, 5) for _ in range(n)]
+    slots = tuple(frozenset(s) for s in ("Q", "R", "W", "RW"))
+    rules = selection.Rules(slots, rng.choice([14, 20, 40]), rng.choice([2, 4]), "Q", frozenset("W"), rng.choice([0, 1]), rng.choice([0, 1]), rng.choice([1.0, 1.5]), rng.choice([2, 4]))
+    locked = frozenset(rng.sample(range(n), rng.choice([0, 1])))
+    prior = [set(rng.sample(range(n), 4))]
+    got = selection.best_sets(value, cost, kind, team, opponent, rules, locked, prior=prior, ties=True)
+    best, want = enumerated(value, cost, kind, team, opponent, rules, locked, prior)
+    assert [(p, lead) for _, p, lead in got] == want and all(abs(t - best) < 1e-9 for t, _, _ in got)
+    one = selection.best_sets(value, cost, kind, team, opponent, rules, locked, prior=prior)
+    assert len(one) == bool(want) and (not want or abs(one[0][0] - best) < 1e-9)
+
+
+def test_portfolio_and_empty_pools(spark):
+    rules = selection.Rules((frozenset("a"),) * 2, 10, overlap=1, share=0.5)
+    got = selection.portfolio([5.0, 4.0, 3.0, 2.0], [1] * 4, ["a"] * 4, ["t"] * 4, ["u"] * 4, rules, 4)
+    assert [p for _, p, _ in got] == [(0, 1), (0, 2), (1, 2)]  # each in at most two; (3,) is alone then
+    df = spark.createDataFrame([("g", "x", 1.0, 2.0, "a", "t", "u"), ("g", "y", None, 2.0, "a", "t", "u"), ("h", None, 1.0, 2.0, "a", "t", "u")], "g string, i string, v double, c double, k string, t string, o string")
+    assert selection.constrained_selections(df, "g", "i", "v", "c", "k", "t", "o", rules, 1).count() == 0
+    assert [r.item for r in selection.constrained_selections(df, "g", "i", "v", "c", "k", "t", "o", selection.Rules((frozenset("a"),), 10), 1).collect()] == ["x"]
+    with pytest.raises(Exception, match="no multiples"):
+        selection.constrained_selections(df, "g", "i", "v", "c", "k", "t", "o", rules, 1.5).collect()
