@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import clamp
-from tallyforge.operators.windows import global_order_sums, rank_average
+from tallyforge.operators.windows import exact_quantiles, global_order_sums, group_places, rank_average
 
 
 def weighted_mean(v: str, w: str) -> Column:
@@ -86,8 +86,7 @@ def auc(df: DataFrame, actual: str, score: str) -> DataFrame:
 
 def capture(df: DataFrame, partition: list[str], score: str, hit: str, order: list[Column], top: float = 0.8) -> DataFrame:
     """(n, top_n, base_rate, top_rate, lift, capture) of the rows ranked above `top` in their partition."""
-    w = Window.partitionBy(*partition)
-    rows = df.withColumn("_p", F.row_number().over(w.orderBy(*order)) / F.count("*").over(w))
+    rows = group_places(df, partition, order, "_k", "_n").withColumn("_p", F.col("_k") / F.col("_n"))
     best = F.col("_p") > top
     out = rows.agg(F.count("*").alias("n"), F.count_if(best).alias("top_n"), F.avg(hit).alias("base_rate"), F.avg(F.when(best, F.col(hit))).alias("top_rate"), F.sum(F.when(best, F.col(hit)).otherwise(0)).alias("_h"), F.sum(hit).alias("_a"))
     return out.withColumn("lift", F.try_divide("top_rate", F.nullif("base_rate", F.lit(0.0)))).withColumn("capture", F.try_divide("_h", F.nullif("_a", F.lit(0)))).drop("_h", "_a")
@@ -115,8 +114,8 @@ def top_items(df: DataFrame, keys: list[str], item: str, first_seen: str, n: int
 
 def tercile_groups(df: DataFrame, value: str) -> DataFrame:
     """df with `tercile` LOW, MID or HIGH by exact thirds; NULL where there are under two distinct values."""
-    cuts = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"), F.count_distinct(value).alias("d")).first()
-    if cuts["q"] is None or cuts["d"] < 2:
+    span = df.agg(F.min(value).alias("a"), F.max(value).alias("b")).first()
+    if span["a"] is None or span["a"] == span["b"]:
         return df.withColumn("tercile", F.lit(None).cast("string"))
-    low, high = cuts["q"]
+    low, high = exact_quantiles(df.select(F.lit(0).alias("_all"), value), ["_all"], value, {"low": 1 / 3, "high": 2 / 3}).select("low", "high").first()
     return df.withColumn("tercile", F.when(F.col(value) <= low, "LOW").when(F.col(value) <= high, "MID").when(F.col(value).isNotNull(), "HIGH"))

@@ -76,3 +76,35 @@ def first_row_leaks(df: DataFrame, order_rank: str, features: list[str]) -> Data
     first = df.filter(F.col(order_rank) == 0)
     one = first.agg(*[F.count_if(F.coalesce(F.col(f), F.lit(0)) != 0).alias(f) for f in features])
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("leaks")) for f in features])))
+
+
+def hash_chains(df: DataFrame, key: str, order: list[str], event: Column) -> DataFrame:
+    """(key, n, state): the last link of each key's chain, in which a state is SHA-256 of `the state before|event`.
+
+    A link needs the one before, so a key's events go through one task; they pass as a stream of sorted batches and
+    are never held together. Rows without key or event are left out.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    kind = dict(df.dtypes)[key]
+    rows = df.select(F.col(key).alias("key"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], event.alias("event")).filter("key is not null and event is not null")
+    rows = rows.repartition("key").sortWithinPartitions("key", *[f"o{i}" for i in range(len(order))]).select("key", "event")
+
+    def linked(batches):
+        last, state, n, names = None, "", 0, []
+        for batch in batches:
+            names, out = batch.schema, []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("event").to_pylist()):
+                if key != last or not n:
+                    out += [(last, n, state)] if n else []
+                    last, state, n = key, "", 0
+                state, n = hashlib.sha256(f"{state}|{text}".encode()).hexdigest(), n + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], names.field("key").type), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out])], [key_name, "n", "state"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([last], names.field("key").type), pa.array([n], pa.int64()), pa.array([state])], [key_name, "n", "state"])
+
+    key_name = key
+    return rows.mapInArrow(linked, f"`{key}` {kind}, n bigint, state string")

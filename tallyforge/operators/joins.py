@@ -96,10 +96,8 @@ def asof_join_bucketed(left: DataFrame, right: DataFrame, keys: list[str], left_
 
 def latest_before(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, id_col: str) -> DataFrame:
     """For each left row the latest right row strictly before it, with `n_tied`: how many share that time."""
-    both = left.join(right, keys).filter(F.col(right_at) < F.col(left_at))
-    best = both.groupBy(*left.columns).agg(F.max(right_at).alias("_at"), F.collect_list(F.struct(F.col(right_at).alias("t"), F.col(id_col).alias("i"))).alias("_all"))
-    tied = F.filter("_all", lambda x: x["t"] == F.col("_at"))
-    return best.select(*left.columns, F.col("_at").alias(right_at), F.array_min(F.transform(tied, lambda x: x["i"])).alias(id_col), F.size(tied).alias("n_tied"))
+    seen = right.groupBy(*keys, right_at).agg(F.min(id_col).alias(id_col), F.count("*").cast("int").alias("n_tied"))
+    return asof_join(left, seen, keys, left_at, right_at, [right_at, id_col, "n_tied"]).filter("n_tied is not null")
 
 
 def latest_per_group(df: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -14,9 +14,11 @@ def moments(df: DataFrame, features: list[str]) -> list[tuple[float, float]]:
 
 
 def medians(df: DataFrame, features: list[str]) -> list[float]:
-    """Exact medians in one pass (0.0 for a column without values)."""
-    row = df.agg(*[F.percentile(c, 0.5).alias(f"q{i}") for i, c in enumerate(features)]).first()
-    return [row[f"q{i}"] if row[f"q{i}"] is not None else 0.0 for i in range(len(features))]
+    """Exact medians (0.0 for a column without values), from counts per value, so that no task holds all values."""
+    from tallyforge.operators.windows import exact_quantiles
+
+    rows = [exact_quantiles(df.select(F.lit(0).alias("_all"), c), ["_all"], c, {"q": 0.5}).first() for c in features]
+    return [float(r["q"]) if r else 0.0 for r in rows]
 
 
 def standardised(features: list[str], stats: list[tuple[float, float]]) -> list[Column]:

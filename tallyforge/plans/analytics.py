@@ -17,7 +17,9 @@ r4 = lambda c: F.round(c, 4)
 
 @q("r062_group_by", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS qty, round(avg(l_discount), 6) AS disc, median(l_quantity) AS med, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def r062(spark, d):
-    return Tables(spark, d).lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"), F.median("l_quantity").alias("med"), F.count("*").alias("n"))
+    l, keys = Tables(spark, d).lineitem, ["l_returnflag", "l_linestatus"]
+    sums = l.groupBy(*keys).agg(F.sum("l_quantity").alias("qty"), F.round(F.avg("l_discount"), 6).alias("disc"), F.count("*").alias("n"))
+    return W.join_groups(sums, W.exact_quantiles(l, keys, "l_quantity", {"med": 0.5}), keys)
 
 
 _S63 = "SELECT season, count(*) AS n, count(DISTINCT player_id) AS players, max(week) AS last_week, min(week) AS first_week FROM {s} GROUP BY season"
@@ -116,8 +118,9 @@ def r077(spark, d):
 
 @q("r078_moments_and_quantiles", "SELECT l_returnflag, round(avg(l_quantity), 6) AS m, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, quantile_cont(l_quantity, 0.1) AS q10, quantile_cont(l_quantity, 0.9) AS q90 FROM lineitem GROUP BY 1")
 def r078(spark, d):
-    x = F.col("l_quantity")
-    return Tables(spark, d).lineitem.groupBy("l_returnflag").agg(F.round(F.avg(x), 6).alias("m"), F.round(F.stddev_pop(x), 6).alias("sp"), F.round(F.stddev_samp(x), 6).alias("ss"), F.percentile(x, 0.1).alias("q10"), F.percentile(x, 0.9).alias("q90"))
+    l, x = Tables(spark, d).lineitem, F.col("l_quantity")
+    sums = l.groupBy("l_returnflag").agg(F.round(F.avg(x), 6).alias("m"), F.round(F.stddev_pop(x), 6).alias("sp"), F.round(F.stddev_samp(x), 6).alias("ss"))
+    return W.join_groups(sums, W.exact_quantiles(l, ["l_returnflag"], "l_quantity", {"q10": 0.1, "q90": 0.9}), ["l_returnflag"])
 
 
 @q("r079_guarded_correlation", "SELECT l_shipmode AS k, 0 AS r FROM (SELECT 1 AS l_shipmode) WHERE false")
@@ -195,7 +198,9 @@ def r086(spark, d):
 
 @q("r088_deviation_from_peers", "SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 3) AS diff FROM orders")
 def r088(spark, d):
-    return Tables(spark, d).orders.select("o_orderkey", F.round(F.col("o_totalprice") - F.avg("o_totalprice").over(Window.partitionBy("o_orderpriority")), 3).alias("diff"))
+    o = Tables(spark, d).orders
+    means = o.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("m"))
+    return W.join_groups(o, means, ["o_orderpriority"]).select("o_orderkey", F.round(F.col("o_totalprice") - F.col("m"), 3).alias("diff"))
 
 
 @q(
@@ -282,11 +287,13 @@ def r105(spark, d):
 FROM orders""",
 )
 def r106(spark, d):
-    w = Window.partitionBy("o_orderpriority")
-    return Tables(spark, d).orders.select(
-        "o_orderkey", F.round(W.rank_first_pct(["o_orderstatus"], [F.col("o_totalprice").asc(), F.col("o_orderkey").asc()]), 8).alias("pct_first"), W.rank_average(["o_orderpriority"], "o_custkey").alias("average"),
-        F.rank().over(w.orderBy("o_custkey")).alias("lowest"), F.row_number().over(w.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("ordinal"), F.round(W.percentile_points(["o_orderpriority"], "o_custkey"), 8).alias("points"),
-    )
+    o = Tables(spark, d).orders.select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_custkey")
+    o = W.group_places(o, ["o_orderstatus"], [F.col("o_totalprice").asc(), F.col("o_orderkey").asc()], "first", "n_status")
+    o = W.group_places(o, ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey").asc()], "ordinal", "n_priority")
+    o = W.join_groups(o, W.value_ranks(o, ["o_orderpriority"], "o_custkey"), ["o_orderpriority", "o_custkey"])
+    average = F.col("before") + (F.col("ties") + 1) / 2.0
+    points = F.when(F.col("n") == 1, 1.0).otherwise((average - 1) / F.nullif(F.col("n") - 1, F.lit(0)))
+    return o.select("o_orderkey", F.round(F.col("first") / F.col("n_status"), 8).alias("pct_first"), average.alias("average"), (F.col("before") + 1).cast("int").alias("lowest"), F.col("ordinal").cast("int").alias("ordinal"), F.round(points, 8).alias("points"))
 
 
 @q(
@@ -295,7 +302,8 @@ def r106(spark, d):
 FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey) >= 5""",
 )
 def r110(spark, d):
-    return Tables(spark, d).customer.withColumn("bucket", W.quintile(["c_nationkey"], [F.col("c_acctbal").asc(), F.col("c_custkey").asc()], "c_acctbal")).filter("bucket is not null").select("c_custkey", "bucket")
+    c = W.group_places(Tables(spark, d).customer.filter("c_acctbal is not null"), ["c_nationkey"], [F.col("c_acctbal").asc(), F.col("c_custkey").asc()])
+    return c.filter("n >= 5").select("c_custkey", W.fifth(F.col("place"), F.col("n")).alias("bucket"))
 
 
 @q("r111_group_value_on_rows", "SELECT o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders")

@@ -10,6 +10,7 @@ from tallyforge.operators import aggregates as A
 from tallyforge.operators import joins as J
 from tallyforge.operators import kernels as K
 from tallyforge.operators import windows as W
+from tallyforge.operators.audit import hash_chains
 from tallyforge.plans.pipelines import BOX, KEY, ORDER, PW, box
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import scratch_path, shared_dir
@@ -225,22 +226,20 @@ def r176(spark, d):
 
 @q("r182_child_replacement", "SELECT o_orderkey, l_linenumber, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS batch FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' OR l_returnflag = 'R'")
 def r182(spark, d):
-    # all children of a parent in the new batch are replaced by the batch's
+    # all children of a parent in the new batch are replaced by the batch's: one join, which tells the two apart
     t = Tables(spark, d)
-    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag").join(t.orders.select("o_orderkey"), "o_orderkey", "left_semi")
-    parents = t.orders.filter("o_orderstatus = 'F'").select("o_orderkey")
-    new = lines.filter("l_returnflag = 'R'").join(parents, "o_orderkey", "left_semi")
-    kept = lines.join(parents, "o_orderkey", "left_anti")
-    return kept.select("o_orderkey", "l_linenumber", F.lit("old").alias("batch")).unionByName(new.select("o_orderkey", "l_linenumber", F.lit("new").alias("batch")))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag").join(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    renewed = F.coalesce(F.col("o_orderstatus") == "F", F.lit(False))
+    return lines.filter(~renewed | (F.col("l_returnflag") == "R")).select("o_orderkey", "l_linenumber", F.when(renewed, "new").otherwise("old").alias("batch"))
 
 
-@q("r186_state_chain", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
+@q(
+    "r186_state_chain",
+    """SELECT user_id, count(*) AS n, list_reduce(list_prepend('', list(event_id || '|' || event_type ORDER BY ts, event_id)), lambda h, e: sha256(h || '|' || e)) AS state FROM events GROUP BY 1""",
+)
 def r186(spark, d):
     """A hash chain over each user's events: each state's hash is of the one before and the event."""
-    rows = Tables(spark, d).events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
-    step = lambda s, e: F.struct(F.sha2(F.concat_ws("|", s["h"], e["event_id"].cast("string"), e["event_type"]), 256).alias("h"), (s["n"] + 1).alias("n"))
-    out = rows.select("user_id", K.folded_state(F.col("e"), F.struct(F.lit("").alias("h"), F.lit(0).cast("long").alias("n")), step).alias("s"))
-    return out.filter("length(s.h) = 64").select("user_id", "s.n")
+    return hash_chains(Tables(spark, d).events, "user_id", ["ts", "event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "event_type"))
 
 
 @q(

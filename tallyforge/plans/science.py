@@ -12,6 +12,7 @@ from tallyforge.functions.times import iso_micros, local_to_utc_micros
 from tallyforge.operators import audit
 from tallyforge.operators import kernels as K
 from tallyforge.operators import timestamps
+from tallyforge.operators import windows as W
 from tallyforge.operators.windows import global_order_sums
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import scratch_path
@@ -203,9 +204,10 @@ def r152(spark, d):
 
 @q("r153_leave_one_out", "SELECT c_custkey, round((sum(c_acctbal) OVER w - c_acctbal) / nullif(count(*) OVER w - 1, 0), 4) AS others FROM customer WINDOW w AS (PARTITION BY c_nationkey)")
 def r153(spark, d):
-    # the mean without a row follows from the group's sum: no fold is built
-    w = Window.partitionBy("c_nationkey")
-    return Tables(spark, d).customer.select("c_custkey", F.round(F.try_divide(F.sum("c_acctbal").over(w) - F.col("c_acctbal"), F.nullif(F.count("*").over(w) - 1, F.lit(0))), 4).alias("others"))
+    # the mean without a row follows from the group's sum: no fold is built, and no group meets in one task
+    c = Tables(spark, d).customer
+    sums = c.groupBy("c_nationkey").agg(F.sum("c_acctbal").alias("s"), F.count("*").alias("k"))
+    return W.join_groups(c, sums, ["c_nationkey"]).select("c_custkey", F.round(F.try_divide(F.col("s") - F.col("c_acctbal"), F.nullif(F.col("k") - 1, F.lit(0))), 4).alias("others"))
 
 
 @q("r154_proportional", "SELECT l_orderkey, l_linenumber, round(CASE WHEN sum(greatest(l_tax, 0)) OVER w > 0 THEN 100 * greatest(l_tax, 0) / sum(greatest(l_tax, 0)) OVER w ELSE 100.0 / count(*) OVER w END, 6) AS share FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
@@ -268,10 +270,10 @@ def r160(spark, d):
 
 @q("r161_state_replay", "SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS purchases, arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1")
 def r161(spark, d):
-    rows = Tables(spark, d).events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("events"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("purchases"), F.lit(None).cast("string").alias("last_type"))
     step = lambda s, e: F.struct((s["n"] + 1).alias("n"), (s["purchases"] + (e["event_type"] == "purchase").cast("long")).alias("purchases"), e["event_type"].alias("last_type"))
-    return rows.select("user_id", K.folded_state(F.col("events"), start, step).alias("s")).select("user_id", "s.*")
+    merge = lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["purchases"] + b["purchases"]).alias("purchases"), F.when(b["n"] > 0, b["last_type"]).otherwise(a["last_type"]).alias("last_type"))
+    return W.replayed(Tables(spark, d).events, "user_id", ["ts", "event_id"], ["event_type"], start, step, merge).select("user_id", "state.*")
 
 
 @q("r166_unique_key_audit", "SELECT o_orderkey, count(*) AS count FROM orders GROUP BY 1 HAVING count(*) > 1")

@@ -468,3 +468,35 @@ def test_portfolio_and_empty_pools(spark):
     assert [r.item for r in selection.constrained_selections(df, "g", "i", "v", "c", "k", "t", "o", selection.Rules((frozenset("a"),), 10), 1).collect()] == ["x"]
     with pytest.raises(Exception, match="no multiples"):
         selection.constrained_selections(df, "g", "i", "v", "c", "k", "t", "o", rules, 1.5).collect()
+
+
+def test_places_ranks_and_quantiles_without_windows(spark):
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "b", "hot", "hot", "hot", None]), rng.choice([None, 1.0, 1.0, 2.5, float(rng.randint(0, 40))]), i) for i in range(3000)] + [("one", 5.0, 3000), ("none", None, 3001)]
+    df = spark.createDataFrame(data, "g string, v double, i int")
+    want = df.select("g", "i", F.row_number().over(W.Window.partitionBy("g").orderBy(F.col("v").desc_nulls_last(), "i")).alias("place"), F.count("*").over(W.Window.partitionBy("g")).alias("n"))
+    got = W.group_places(df, ["g"], [F.col("v").desc_nulls_last(), F.col("i").asc()]).select("g", "i", "place", "n")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    for r in W.value_ranks(df, ["g"], "v").collect():
+        own = [v for g, v, _ in data if g == r.g and v is not None]
+        assert (r.before, r.ties, r.n) == (sum(v < r.v for v in own), own.count(r.v), len(own))
+    q = {r.g: (r.q1, r.q5) for r in W.exact_quantiles(df, ["g"], "v", {"q1": 0.1, "q5": 0.5}).collect()}
+    assert "none" not in q and q["one"] == (5.0, 5.0)
+    for g, (q1, q5) in q.items():
+        own = [v for x, v, _ in data if x == g and v is not None]
+        assert abs(q1 - np.quantile(own, 0.1)) < 1e-9 and abs(q5 - np.quantile(own, 0.5)) < 1e-9
+    assert K.medians(df.limit(0), ["v"]) == [0.0] and W.group_places(df.limit(0), ["g"], [F.col("i").asc()]).count() == 0
+
+
+def test_replay_and_chains(spark):
+    import hashlib
+
+    df = spark.range(5000).select((F.col("id") % 3 == 0).cast("int").alias("k"), "id", F.concat(F.lit("e"), F.col("id")).alias("x"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit("").alias("x"))
+    out = W.replayed(df, "k", ["id"], ["x"], start, lambda s, e: F.struct((s["n"] + 1).alias("n"), e["x"].alias("x")), lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), b["x"].alias("x")), bits=3)
+    assert sorted((r.k, r.state.n, r.state.x) for r in out.collect()) == [(0, 3333, "e4999"), (1, 1667, "e4998")]
+    state = ""
+    for i in range(0, 5000, 3):
+        state = hashlib.sha256(f"{state}|e{i}".encode()).hexdigest()
+    got = {r.k: (r.n, r.state) for r in audit.hash_chains(df.repartition(5), "k", ["id"], F.col("x")).collect()}
+    assert got[1] == (1667, state) and audit.hash_chains(df.limit(0), "k", ["id"], F.col("x")).count() == 0
