@@ -374,6 +374,53 @@ def r181(spark, d):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@q(
+    "r177_incidents",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS at_us, event_id, event_type = 'purchase' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_type = 'purchase') AS k FROM events WHERE event_type IS NOT NULL),
+g AS (SELECT *, coalesce(sum(CASE WHEN NOT bad THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run, lag(bad) OVER (PARTITION BY key ORDER BY k) AS before FROM e),
+x AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY key, run ORDER BY k) AS n, min(CASE WHEN bad THEN at_us END) OVER (PARTITION BY key, run) AS opened FROM g)
+SELECT key, CASE WHEN NOT bad THEN 'RESOLVED' WHEN n = 1 THEN 'OPEN' ELSE 'UPDATE' END AS state, CAST(n AS INT) AS n, opened FROM x WHERE bad OR before""",
+)
+def r177(spark, d):
+    """A purchase opens an incident of its user, further ones update it, any other event resolves it."""
+    full = spark.read.parquet(f"{d}/events.parquet").schema
+    stream = streaming.files_stream(spark, f"{d}/events.parquet", full)
+    stream = stream.filter("event_type is not null").select(F.col("user_id").cast("string").alias("user"), (F.col("event_type") == "purchase").alias("bad"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    out = scratch_path(spark, "incidents")
+    w = streaming.incidents(stream, "user", "bad", "at").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_stream").outputMode("append").trigger(availableNow=True)
+    streaming.run_to_end(w.start())
+    return spark.read.schema("key string, state string, n int, opened bigint").parquet(f"{out}/rows")
+
+
+@q(
+    "r183_late_correction",
+    """WITH b AS (SELECT record_id, upper(headline) AS headline, 1 AS revision FROM source_events WHERE headline IS NOT NULL) SELECT s.record_id, coalesce(b.headline, s.headline) AS headline, coalesce(b.revision, 0) AS revision FROM source_events s LEFT JOIN b USING (record_id)""",
+)
+def r183(spark, d):
+    """Corrections come after everything else, and once more as older duplicates: rows are replaced, duplicates are not."""
+    rows = Tables(spark, d).source_events.select("record_id", "headline", F.lit(0).alias("revision"))
+    late = rows.filter("headline is not null").select("record_id", F.upper("headline").alias("headline"), F.lit(1).alias("revision"))
+    table = streaming.KeyedTable(spark, scratch_path(spark, "corrected"), ["record_id"], "revision", rows.schema)
+    for number, batch in enumerate((rows, late, rows)):
+        table.upsert(batch, number)
+    return table.read()
+
+
+@q(
+    "r187_schedule",
+    """WITH g AS (SELECT game_id, min(epoch_us(strptime(trim(game_date), '%Y-%m-%d'))) AS begins FROM dim_game GROUP BY 1), e AS (SELECT DISTINCT game_id FROM source_events WHERE game_id IS NOT NULL), t AS (SELECT quantile_disc(begins, 0.5) AS now_us FROM g)
+SELECT coalesce(g.game_id, e.game_id) AS game_id, CASE WHEN g.game_id IS NULL THEN 'UNPLANNED' WHEN begins IS NULL THEN 'UNTIMED' WHEN begins - 1209600000000 <= now_us AND now_us <= begins + 1209600000000 THEN CASE WHEN e.game_id IS NULL THEN 'MISSING' ELSE 'ACTIVE' END
+  WHEN now_us < begins THEN 'WAITING' ELSE 'ENDED' END AS state FROM g FULL JOIN e ON g.game_id = e.game_id, t""",
+)
+def r187(spark, d):
+    """Events discovered against the schedule, at the middle of its dates: two weeks before and after are active."""
+    t = Tables(spark, d)
+    plan = t.dim_game.select("game_id", F.unix_micros(F.try_to_timestamp(F.trim("game_date"), F.lit("yyyy-MM-dd"))).alias("begins"))
+    times = W.value_ranks(plan.groupBy("game_id").agg(F.min("begins").alias("begins")).select(F.lit(0).alias("_all"), "begins"), ["_all"], "begins")
+    now = times.filter("before < 0.5 * n and 0.5 * n <= before + ties").first()["begins"]
+    return streaming.scheduled(t.source_events, plan, "game_id", "begins", int(now), 14 * 86400, 14 * 86400)
+
+
 @q("r184_tumbling_windows", "SELECT epoch(time_bucket(INTERVAL 1 DAY, ts)) AS start_s, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def r184(spark, d):
     x = streaming.tumbling(Tables(spark, d).events.withColumn("at", F.col("ts").cast("timestamp")), "at", "1 day", ["event_type"])
