@@ -51,10 +51,28 @@ def ridge_score(model: dict) -> Column:
     out = F.lit(model["intercept"])
     for c, beta in model["beta"].items():
         m, s = model["stats"][c]
-        out = out + F.lit(beta) * ((F.coalesce(F.col(c), F.lit(m)) - m) / s)
+        fill = model.get("fill", {}).get(c, m)
+        out = out + F.lit(beta) * ((F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(fill)), F.lit(fill)) - m) / s)
     return out
 
 
+def fit_imputed_ridge(df: DataFrame, features: list[str], target: str, penalty: float) -> dict:
+    """fit_ridge with missing features (NULL, NaN) filled by their medians and constant features left out.
+
+    Medians and moments are those of the rows with a target; `fill` keeps the medians for scoring. The intercept carries
+    no penalty. A model without a feature that varies is an error.
+    """
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rows = df.select(*[known(c).alias(c) for c in features], known(target).alias(target)).filter(F.col(target).isNotNull())
+    fill = dict(zip(features, medians(rows, features)))
+    rows = rows.na.fill(fill)
+    row = rows.agg(*[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
+    usable = [c for i, c in enumerate(features) if (row[f"s{i}"] or 0.0) > 1e-12]
+    if not usable:
+        raise ValueError(f"none of {features} varies")
+    return fit_ridge(rows, usable, target, penalty) | {"fill": {c: fill[c] for c in usable}}
+
+
 def tune_ridge(train: DataFrame, valid: DataFrame, features: list[str], target: str, grid: list[float]) -> list[tuple[float, float]]:
     """[(mae, penalty)] on the validation rows for each penalty, best first."""
     models = [(p, fit_ridge(train, features, target, p)) for p in grid]

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["training", "joins", "analytics", "science", "pipelines", "more"]
+MODULES = ["training", "joins", "analytics", "science", "pipelines", "more", "forecasts"]
 
 
 def load_core():

@@ -216,7 +216,13 @@ def r154(spark, d):
     return l.select("l_orderkey", "l_linenumber", F.round(K.proportional("total", "l_tax", ["l_orderkey"]), 6).alias("share"))
 
 
-@q("r155_water_filling")
+@q(
+    "r155_water_filling",
+    """WITH l AS (SELECT l_orderkey, l_linenumber, l_tax + 0.01 AS w, l_quantity AS c, row_number() OVER () AS id FROM lineitem),
+k AS (SELECT l_orderkey, b.c / b.w AS ratio, (60.0 - sum(CASE WHEN a.c / a.w < b.c / b.w THEN a.c ELSE 0 END)) / sum(CASE WHEN a.c / a.w < b.c / b.w THEN 0 ELSE a.w END) AS level FROM l b JOIN l a USING (l_orderkey) GROUP BY l_orderkey, b.id, b.c, b.w),
+v AS (SELECT l_orderkey, max(CASE WHEN level <= ratio THEN level END) AS level FROM k GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN level IS NULL THEN c ELSE least(c, greatest(level, 0) * w) END, 6) AS share FROM l JOIN v USING (l_orderkey)""",
+)
 def r155(spark, d):
     l = Tables(spark, d).lineitem.withColumn("total", F.lit(60.0)).withColumn("w", F.col("l_tax") + 0.01)
     return K.water_filled(l, ["l_orderkey"], "total", "w", "l_quantity", "l_linenumber").select("l_orderkey", "l_linenumber", F.round("share", 6).alias("share"))
@@ -283,13 +289,17 @@ def r166(spark, d):
     return duplicate_keys(Tables(spark, d).orders, ["o_orderkey"])
 
 
-@q("r167_leakage_audit", "SELECT 'mean_3' AS feature, 0 AS leaks UNION ALL SELECT 'max_5', 0")
+@q(
+    "r167_leakage_audit",
+    "WITH f AS (SELECT value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT 'mean_3' AS feature, 0 AS leaks UNION ALL SELECT 'max_5', 0 UNION ALL SELECT 'with_own_row', count(*) FILTER (k = 1 AND value <> 0) FROM f",
+)
 def r167(spark, d):
+    """Two look-back features, and one that has the row's own value in it and so leaks at each user's first row."""
     from tallyforge.operators.windows import Prior
 
     p = Prior(["user_id"], ["ts", "event_id"])
-    rows = Tables(spark, d).events.select(p.rows().alias("prior"), p.mean("value", 3).alias("mean_3"), p.max("value", 5).alias("max_5"))
-    return audit.first_row_leaks(rows, "prior", ["mean_3", "max_5"])
+    rows = Tables(spark, d).events.select(p.rows().alias("prior"), p.mean("value", 3).alias("mean_3"), p.max("value", 5).alias("max_5"), F.avg("value").over(p.w.rowsBetween(-2, 0)).alias("with_own_row"))
+    return audit.first_row_leaks(rows, "prior", ["mean_3", "max_5", "with_own_row"])
 
 
 @q(

@@ -500,3 +500,21 @@ def test_replay_and_chains(spark):
         state = hashlib.sha256(f"{state}|e{i}".encode()).hexdigest()
     got = {r.k: (r.n, r.state) for r in audit.hash_chains(df.repartition(5), "k", ["id"], F.col("x")).collect()}
     assert got[1] == (1667, state) and audit.hash_chains(df.limit(0), "k", ["id"], F.col("x")).count() == 0
+
+
+def test_imputed_ridge_against_numpy(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([None, float("nan"), rng.uniform(0, 9)]), rng.uniform(0, 3), 7.0, rng.choice([None, rng.uniform(0, 5)])) for _ in range(300)]
+    df = spark.createDataFrame(data, "a double, b double, same double, y double")
+    model = K.fit_imputed_ridge(df, ["a", "b", "same"], "y", 3.0)
+    rows = [r for r in data if r[3] is not None]
+    known = [r[0] for r in rows if r[0] is not None and not math.isnan(r[0])]
+    a = np.array([r[0] if r[0] is not None and not math.isnan(r[0]) else np.median(known) for r in rows])
+    x, y = np.stack([a, [r[1] for r in rows]], axis=1), np.array([r[3] for r in rows])
+    z = (x - x.mean(0)) / x.std(0)
+    beta = np.linalg.solve(z.T @ z + 3 * np.eye(2), z.T @ (y - y.mean()))
+    assert set(model["beta"]) == {"a", "b"} and np.allclose([model["beta"]["a"], model["beta"]["b"]], beta) and abs(model["intercept"] - y.mean()) < 1e-9
+    got = [r[0] for r in df.filter("y is not null").select(K.ridge_score(model)).collect()]
+    assert np.allclose(sorted(got), sorted(y.mean() + z @ beta))
+    with pytest.raises(ValueError, match="varies"):
+        K.fit_imputed_ridge(df, ["same"], "y", 1.0)
