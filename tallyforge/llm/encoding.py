@@ -18,8 +18,11 @@ RANKS = os.environ.get("TALLYFORGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoke
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Longer texts are encoded in pieces of about this many characters.
 PIECE = 1 << 16
-#: No token of the pattern reaches over the place between a character and white space after it.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+#: Fixed value: the white space of the pattern (that of Unicode, which is not quite Python's).
+BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: No token of the pattern reaches over the place between a character and white space after it, nor over that between a
+#: letter or number and a sign after it.
+SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])|(?<=[^\\W_])(?=[^\\w{BLANK}]|_)")
 
 
 @functools.lru_cache(maxsize=4)
@@ -35,7 +38,7 @@ def load(ranks: str = RANKS):
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """text in pieces of at least `size` characters, cut where the ids of the parts are those of the whole.
 
-    A text without a safe place stays whole from there on.
+    A run of letters, numbers or signs that has no such place stays whole, whatever its length.
     """
     at = 0
     while len(text) - at > size:

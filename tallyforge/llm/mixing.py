@@ -68,7 +68,7 @@ def _round_root(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(done=True)
 
 
-def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(copies, shares) for rows (record, source, size) and targets (source, target_share, max_repeats).
 
     copies: (record, source, size, copies) of every record used at least once; shares: (source, target_share,
@@ -78,8 +78,9 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | N
     Every record of a source gets the same expected number of copies, its whole part for certain and one more by
     pivotal rounding in which sizes weigh, so a source misses its share by less than one of its records.
     Records without size or source, or of a source without a target, are not used; targets whose share is NULL
-    or 0 get none. A source with a target but no records leaves no mix possible: no record is used then. The
-    choice depends on the seed and the records, not on how they are partitioned.
+    or 0 get none. A source with a target but no records gives nothing, and the others keep their proportions to each
+    other; with `strict` no mix is possible then and no record is used. The choice depends on the seed and the records,
+    not on how they are partitioned.
     """
     spark = sized.sparkSession
     aims = targets.filter("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").cast("int").alias("max_repeats"))
@@ -87,9 +88,10 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | N
     stock = rows.groupBy("source").agg(F.sum("size").alias("available"), F.count("*").alias("n"))
     # a row per target, whatever the number of records
     plan = [r.asDict() for r in aims.join(stock, "source", "left").na.fill(0, ["available", "n"]).orderBy("source").collect()]
-    unit = min((r["available"] * r["max_repeats"] / r["target_share"] for r in plan), default=0.0)
+    giving = [r for r in plan if r["available"] or strict]
+    unit = min((r["available"] * r["max_repeats"] / r["target_share"] for r in giving), default=0.0)
     if total is not None:
-        unit = min(unit, total / sum(r["target_share"] for r in plan)) if plan else 0.0
+        unit = min(unit, total / sum(r["target_share"] for r in giving)) if giving else 0.0
     for r in plan:
         r["rate"] = min(unit * r["target_share"] / r["available"], float(r["max_repeats"])) if r["available"] else 0.0
     plan = spark.createDataFrame([tuple(r[c] for c in _PLAN) for r in plan], "source string, target_share double, max_repeats int, available double, n bigint, rate double")
@@ -115,10 +117,26 @@ def mixed(sized: DataFrame, targets: DataFrame, seed: int = 17, total: float | N
     return copies, shares
 
 
-def mixed_documents(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """`mixed` over documents, sizes in tokens. Equal doc_ids are one document (the first in the order of texts)."""
-    spark = documents.sparkSession
+def sized_documents(documents: DataFrame, ranks: str = RANKS) -> DataFrame:
+    """(record, source, size) of documents, sizes in tokens. Of equal doc_ids the one with the most tokens counts.
+
+    At equal sizes that is the one whose source comes last; rows without doc_id are one record without id.
+    """
     counts = token_counts(documents.select(F.struct("doc_id", "source").alias("key"), "text"), "key", "text", ranks)
     sized = counts.groupBy(F.col("key.doc_id").alias("record")).agg(F.max(F.struct("n_tokens", "key.source")).alias("v"))
-    sized = sized.filter("record is not null").select("record", "v.source", F.col("v.n_tokens").alias("size"))
-    return mixed(materialise(spark, sized, "sizes"), targets, seed)
+    return materialise(documents.sparkSession, sized.select("record", "v.source", F.col("v.n_tokens").alias("size")), "sizes")
+
+
+def mixed_documents(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """`mixed` over documents, sizes in tokens. Documents without doc_id are not used."""
+    return mixed(sized_documents(documents, ranks).filter("record is not null"), targets, seed)
+
+
+def left_out(documents: DataFrame, targets: DataFrame, ranks: str = RANKS, seed: int = 17) -> DataFrame:
+    """(reason, documents, tokens): how many documents a mix does not use, and why."""
+    sized = sized_documents(documents, ranks)
+    copies = mixed(sized.filter("record is not null"), targets, seed)[0].select("record", F.lit(True).alias("_used"))
+    aimed = targets.filter("source is not null and target_share > 0 and max_repeats > 0").select("source", F.lit(True).alias("_aimed")).distinct()
+    rows = sized.join(copies, "record", "left").join(aimed, "source", "left").filter("_used is null")
+    reason = F.when(F.col("record").isNull(), "no doc_id").when(F.col("source").isNull(), "no source").when(F.col("_aimed").isNull(), "no target").when(F.coalesce("size", F.lit(0)) == 0, "no tokens").otherwise("not drawn")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("documents"), F.sum("size").alias("tokens"))

@@ -32,6 +32,12 @@ def p8_copies(spark, d):
     return mixing.mixed_documents(t.documents, t.mix_targets)[0].select(F.col("record").alias("doc_id"), "source", F.col("size").cast("bigint").alias("n_tokens"), "copies")
 
 
+@LLM.query("p8_left_out")
+def p8_left_out(spark, d):
+    t = Tables(spark, d)
+    return mixing.left_out(t.documents, t.mix_targets)
+
+
 def _languages(spark, d):
     from tallyforge.llm import languages
 
