@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tallyforge.plans.pipelines import BOX, KEY, ORDER, PW, box
 from tallyforge.plans.registry import CORE, Tables
 from tallyforge.session import scratch_path, shared_dir
 from tallyforge.sources import csv_table, discovered_files, html_fields, rss_items
-from tallyforge.sources.sinks import Ledger, mirror, publish, published, replace_partitions
+from tallyforge.sources.sinks import Artifacts, Ledger, mirror, publish, published, replace_partitions
 
 q = CORE.query
 
@@ -37,12 +39,31 @@ def r006(spark, d):
     return lines.join(found.select(F.url_decode("folder").alias("folder")).distinct(), "folder").groupBy("folder").agg(F.count("*").alias("n_rows"))
 
 
-@q("r009_rss_items", "SELECT capture_id AS id, trim(headline) AS title FROM source_capture WHERE headline IS NOT NULL")
+@q("r008_json_pages", "SELECT 200 AS status, r_regionkey, r_name FROM region")
+def r008(spark, d):
+    """JSON documents fetched by URL, one each in a partition of its own; here the documents are in the URLs themselves."""
+    from tallyforge.sources import JsonPages
+
+    spark.dataSource.register(JsonPages)
+    bodies = Tables(spark, d).region.select(F.to_json(F.struct("r_regionkey", "r_name")).alias("j")).collect()  # five regions, a URL each
+    urls = ["data:application/json;base64," + base64.b64encode(b["j"].encode()).decode() for b in bodies]
+    pages = spark.read.format("json_pages").option("urls", " ".join(urls)).load()
+    fields = F.from_json("body", "r_regionkey int, r_name string")
+    return pages.select("status", fields["r_regionkey"].alias("r_regionkey"), fields["r_name"].alias("r_name"))
+
+
+@q(
+    "r009_rss_items",
+    "SELECT capture_id AS id, trim(headline) AS title, json_extract_string(raw_feed_fields, '$.pubDate') AS pub_date FROM source_capture WHERE headline IS NOT NULL",
+)
 def r009(spark, d):
-    plain = F.replace(F.replace(F.replace(F.trim("headline"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    item = F.concat(F.lit("<item><guid>"), F.col("capture_id").cast("string"), F.lit("</guid><title>"), plain, F.lit("</title></item>"))
-    feed = Tables(spark, d).source_capture.select(F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")).alias("xml"))
-    return rss_items(feed, "xml").select(F.col("guid").cast("bigint").alias("id"), "title")
+    """Feeds with all items of a batch and source, read back item by item."""
+    mark = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))
+    item = F.concat(F.lit("<item>"), tag("guid", F.col("capture_id").cast("string")), tag("title", mark(F.trim("headline"))), tag("pubDate", mark(F.get_json_object("raw_feed_fields", "$.pubDate"))), F.lit("</item>"))
+    rows = Tables(spark, d).source_capture.filter("headline is not null").select("batch_id", "source", item.alias("item"))
+    feed = rows.groupBy("batch_id", "source").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list("item"), ""), F.lit("</channel></rss>")).alias("xml"))
+    return rss_items(feed, "xml").select(F.col("guid").cast("bigint").alias("id"), "title", "pub_date")
 
 
 @q("r010_html_fields", r"SELECT doc_id, split_part(part, '</p>', 1) AS paragraph FROM (SELECT doc_id, unnest(string_split(text, '<p>')[2:]) AS part FROM documents WHERE text IS NOT NULL)")
@@ -87,6 +108,17 @@ def r020(spark, d):
     return spark.createDataFrame([mirror(Tables(spark, d).customer, scratch_path(spark, "mirror"))], "parquet bigint, csv bigint")
 
 
+@q(
+    "r023_artifacts",
+    "WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders) SELECT 'whole' AS name, n, true AS first_put FROM o UNION ALL SELECT 'again', n, false FROM o UNION ALL SELECT 'part', f, true FROM o",
+)
+def r023(spark, d):
+    """Tables kept under the hash of their content: the same rows in another order are there already."""
+    o, store = Tables(spark, d).orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), Artifacts(spark, scratch_path(spark, "artifacts"))
+    put = {"whole": store.put(o), "again": store.put(o.orderBy("o_totalprice")), "part": store.put(o.filter("o_orderstatus = 'F'"))}
+    return spark.createDataFrame([(name, store.get(digest).count(), new) for name, (digest, new) in put.items()], "name string, n bigint, first_put boolean")
+
+
 @q("r033_component_scores", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS a, CAST(l_returnflag = 'R' AS INT) * 6 AS b, round(l_quantity * 2 + CAST(l_returnflag = 'R' AS INT) * 6 + l_discount, 4) AS total FROM lineitem")
 def r033(spark, d):
     parts = Tables(spark, d).lineitem.withColumns({"a": F.col("l_quantity") * 2, "b": (F.col("l_returnflag") == "R").cast("int") * 6})

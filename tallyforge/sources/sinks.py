@@ -123,6 +123,26 @@ def mirror(df: DataFrame, path: str) -> tuple[int, int]:
     return saved.count(), spark.read.schema(saved.schema).option("header", True).csv(f"{path}/csv").count()
 
 
+class Artifacts:
+    """Tables under the hash of their content: what is there is never written again or changed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def put(self, df: DataFrame) -> tuple[str, bool]:
+        """(digest, whether it was new) of df's rows, whatever their order."""
+        from tallyforge.operators.audit import table_fingerprint
+
+        digest = table_fingerprint(df, sorted(df.columns)).first()["digest"]
+        new = Versions(self.spark, f"{self.path}/{digest}").last() is None
+        if new:
+            publish(df, f"{self.path}/{digest}")
+        return digest, new
+
+    def get(self, digest: str) -> DataFrame:
+        return published(self.spark, f"{self.path}/{digest}")
+
+
 class Ledger:
     """Append-only snapshots in Parquet, partitioned by snapshot; a payload that is there already is refused."""
 
