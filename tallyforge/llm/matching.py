@@ -58,7 +58,7 @@ def name_parts(df: DataFrame, name: Column) -> DataFrame:
 
 def consonants(word: str) -> Column:
     """The first letter and the consonants after it, repeated ones once: what several slips mostly leave alone."""
-    return F.concat(F.substring(word, 1, 1), F.regexp_replace(F.regexp_replace(F.expr(f"substring({word}, 2)"), "[aeiouy]", ""), r"(.)\1+", "$1"))
+    return F.concat(F.substring(word, 1, 1), F.regexp_replace(F.translate(F.expr(f"substring({word}, 2)"), "aeiouy", ""), r"(.)\1+", "$1"))
 
 
 @dataclasses.dataclass(frozen=True)
