@@ -1,4 +1,4 @@
-"""Compositions of operators over the project's tables."""
+"""Compositions of operators over the project's tables."""
 
 from __future__ import annotations
 
