@@ -211,13 +211,22 @@ def r200(spark, d):
     return teams.unionByName(players)
 
 
-@q("r201_team_reconciliation")
+@q(
+    "r201_team_reconciliation",
+    f"""WITH {BOX}, x AS (SELECT {", ".join(KEY)}, sum(carries) OVER (PARTITION BY season, week, season_type, team) AS total, greatest(coalesce(avg(carries) OVER {PW} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0), 0) AS w,
+  greatest(coalesce(max(carries) OVER {PW} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0), 0) AS c, row_number() OVER () AS id FROM box),
+k AS (SELECT b.season, b.week, b.season_type, b.team, b.c / b.w AS ratio, (b.total - sum(CASE WHEN a.w > 0 AND a.c / a.w < b.c / b.w THEN a.c ELSE 0 END)) / sum(CASE WHEN a.w > 0 AND a.c / a.w >= b.c / b.w THEN a.w ELSE 0 END) AS level
+  FROM x b JOIN x a ON a.season = b.season AND a.week = b.week AND a.season_type = b.season_type AND a.team = b.team WHERE b.w > 0 GROUP BY b.season, b.week, b.season_type, b.team, b.id, b.c, b.w, b.total),
+v AS (SELECT season, week, season_type, team, max(CASE WHEN level <= ratio THEN level END) AS level FROM k GROUP BY ALL)
+SELECT {", ".join(f"x.{c}" for c in KEY)}, round(CASE WHEN w <= 0 THEN 0 WHEN level IS NULL THEN c ELSE least(c, greatest(level, 0) * w) END, 8) AS carries
+FROM x LEFT JOIN v ON v.season = x.season AND v.week = x.week AND v.season_type = x.season_type AND v.team = x.team""",
+)
 def r201(spark, d):
     """A team's rushing attempts of a week handed out again by the players' form, none above his best of five games."""
     b = box(spark, d)
     p = W.Prior(["player_id"], ORDER)
     rows = b.select(*KEY, F.sum("carries").over(Window.partitionBy("season", "week", "season_type", "team")).alias("total"), p.mean("carries", 3).alias("w"), p.max("carries", 5).alias("cap"))
-    return K.water_filled(rows, ["season", "week", "season_type", "team"], "total", "w", "cap", "player_id").select(*KEY, F.round("share", 5).alias("carries"))
+    return K.water_filled(rows, ["season", "week", "season_type", "team"], "total", "w", "cap", "player_id").select(*KEY, F.round("share", 8).alias("carries"))
 
 
 #: Statuses that keep a player out, and those that are watched.
