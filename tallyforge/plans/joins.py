@@ -301,15 +301,25 @@ def r057(spark, d):
 CORE.sql["r057_unique_exact_join"] = CORE.sql["r057_unique_exact_join"].replace("\\\\S", "\\S")
 
 
+_KEY = "nullif(upper(trim({c})), '')"
+
+
 @q(
     "r058_cascade_join",
-    """WITH a AS (SELECT s_nationkey AS k1, NULL AS x, min(s_suppkey) AS v FROM supplier GROUP BY 1 HAVING count(*) = 1), b AS (SELECT r_regionkey AS k2, min(n_nationkey) AS v FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name LIKE 'NATION_1%' OR n_name LIKE 'A%' GROUP BY 1 HAVING count(*) = 1)
-SELECT c_custkey, a.v, CASE WHEN a.v IS NOT NULL THEN 'BY_NATION' ELSE 'UNMATCHED' END AS match_method FROM customer LEFT JOIN a ON c_nationkey = k1""",
+    f"""WITH l AS (SELECT DISTINCT id, {_KEY.format(c="nickname")} AS name, {_KEY.format(c="team")} AS team, {_KEY.format(c="position")} AS position FROM fanduel_players_list WHERE position <> 'D'),
+r AS (SELECT DISTINCT {_KEY.format(c="full_name")} AS name, {_KEY.format(c="latest_team")} AS team, {_KEY.format(c="position")} AS position, gsis_id FROM player_identity WHERE gsis_id IS NOT NULL),
+a AS (SELECT name, team, position, min(gsis_id) AS g FROM r GROUP BY ALL HAVING count(DISTINCT gsis_id) = 1), b AS (SELECT name, position, min(gsis_id) AS g FROM r GROUP BY ALL HAVING count(DISTINCT gsis_id) = 1),
+c AS (SELECT name, min(gsis_id) AS g FROM r GROUP BY ALL HAVING count(DISTINCT gsis_id) = 1)
+SELECT l.id, l.name, l.team, l.position, coalesce(a.g, b.g, c.g) AS gsis_id, CASE WHEN a.g IS NOT NULL THEN 'NAME_TEAM_POSITION' WHEN b.g IS NOT NULL THEN 'NAME_POSITION' WHEN c.g IS NOT NULL THEN 'NAME' ELSE 'UNMATCHED' END AS match_method
+FROM l LEFT JOIN a ON a.name = l.name AND a.team = l.team AND a.position = l.position LEFT JOIN b ON b.name = l.name AND b.position = l.position LEFT JOIN c ON c.name = l.name""",
 )
 def r058(spark, d):
-    t = Tables(spark, d)
-    right = t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_name").alias("c_name"), F.col("s_suppkey").alias("v"))
-    return J.cascade_join(t.customer.select("c_custkey", "c_nationkey", "c_name"), right, [("BY_NAME", ["c_name"]), ("BY_NATION", ["c_nationkey"])], "v").select("c_custkey", "v", "match_method")
+    """Players of the lists by name, team and position, then by less; each pass through keys of one player only."""
+    t, key = Tables(spark, d), lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
+    left = t.fanduel_players_list.filter("position <> 'D'").select("id", key("nickname").alias("name"), key("team").alias("team"), key("position").alias("position")).distinct()
+    right = t.player_identity.filter("gsis_id is not null").select(key("full_name").alias("name"), key("latest_team").alias("team"), key("position").alias("position"), "gsis_id").distinct()
+    passes = [("NAME_TEAM_POSITION", ["name", "team", "position"]), ("NAME_POSITION", ["name", "position"]), ("NAME", ["name"])]
+    return J.cascade_join(left, right, passes, "gsis_id").select("id", "name", "team", "position", "gsis_id", "match_method")
 
 
 @q("r059_parameter_grid", "SELECT a * 0.1 AS w, b AS penalty FROM (SELECT unnest(generate_series(0, 10)) AS a), (SELECT unnest([0.0, 0.01, 0.1, 1.0, 10.0, 100.0]) AS b)")
